@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import digest as D
+from .operators import drift as S
 from .operators import grid as G
 from .operators import rolling as R
 from .operators.common import DAY_NS, floor_div, table
 from .operators.points import sharded_points
 from .operators.records import holding_values, record_cells
-from .operators.timestamps import infer_offsets, normalise_points
+from .operators.timestamps import normalise_points
 
 # --- p1 -------------------------------------------------------------------------------------------------------------
 P1_PERIODS = {**R.TRAILING, "old": (29, 23)}
@@ -140,5 +141,34 @@ P4_SQL = {
 last_value(reading ignore nulls) over (partition by metric_name, host order by slot_s) carried from grid left join slot using (metric_name, host, slot_s)""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p4_found, p4_grid)}
-SQL = {**P1_SQL, **P2_SQL, **P4_SQL}
+# --- p6 -------------------------------------------------------------------------------------------------------------
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.column_changes(table(spark, sf_dir, "file_headers"), table(spark, sf_dir, "file_rows"))
+
+
+def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.unify(table(spark, sf_dir, "file_headers"), table(spark, sf_dir, "file_rows"))
+
+
+_TYPE = "case upper(trim({0})) when 'INTEGER' then 'INT32' when 'BIGINT' then 'INT64' when 'VARCHAR' then 'BYTE_ARRAY' else upper(trim({0})) end"
+P6_SQL = {
+    "p6_found": f"""
+with f as (select dataset, seq_no, min(file_id) file_id from file_headers where col_names is not null group by all),
+p as (select file_id, lag(file_id) over (partition by dataset order by seq_no) old_id from f),
+c as (select file_id, unnest(col_names) n, {_TYPE.format("unnest(col_types)")} t, unnest(range(len(col_names))) i from file_headers where col_names is not null),
+v as (select r.file_id, r.rec_key, c.n, r.cells[c.i + 1] x from file_rows r join c using (file_id)),
+gone as (select p.file_id, p.old_id, n, t from p join c on c.file_id = p.old_id where not exists (from c d where d.file_id = p.file_id and d.n = c.n)),
+come as (select p.file_id, p.old_id, n, t from p join c using (file_id) where p.old_id is not null and not exists (from c d where d.file_id = p.old_id and d.n = c.n)),
+ren as (select g.file_id, g.n old_col, h.n new_col, g.t old_t, h.t new_t from gone g join come h using (file_id) join v a on a.file_id = g.old_id and a.n = g.n join v b on b.file_id = g.file_id and b.n = h.n and b.rec_key = a.rec_key
+  where g.t <> 'BOOLEAN' and h.t <> 'BOOLEAN' group by all having bool_and(coalesce(a.x = b.x or try_cast(a.x as double) = try_cast(b.x as double), false)))
+select file_id, 'renamed' change, old_col, new_col from ren
+union all select file_id, 'retyped', old_col, new_col from ren where old_t <> new_t
+union all select p.file_id, 'retyped', a.n, a.n from p join c a on a.file_id = p.old_id join c b on b.file_id = p.file_id and a.n = b.n where a.t <> b.t
+union all select file_id, 'removed', n, '' from gone where (file_id, n) not in (select file_id, old_col from ren)
+union all select file_id, 'added', '', n from come where (file_id, n) not in (select file_id, new_col from ren)""",
+}
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p4_found, p4_grid, p6_found, p6_unified)}
+SQL = {**P1_SQL, **P2_SQL, **P4_SQL, **P6_SQL}
