@@ -12,6 +12,7 @@ from .operators import rolling as R
 from .operators.common import DAY_NS, floor_div, table
 from .operators.points import sharded_points
 from .operators.records import holding_values, record_cells
+from .operators.spikes import implausible
 from .operators.timestamps import normalise_points
 
 # --- p1 -------------------------------------------------------------------------------------------------------------
@@ -141,6 +142,17 @@ P4_SQL = {
 last_value(reading ignore nulls) over (partition by metric_name, host order by slot_s) carried from grid left join slot using (metric_name, host, slot_s)""",
 }
 
+# --- p5 -------------------------------------------------------------------------------------------------------------
+
+
+def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible(_points(spark, sf_dir, limits=True))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_flags(spark, sf_dir).select("metric_name", "host", "ts_ms")
+
+
 # --- p6 -------------------------------------------------------------------------------------------------------------
 
 
@@ -170,5 +182,5 @@ union all select file_id, 'removed', n, '' from gone where (file_id, n) not in (
 union all select file_id, 'added', '', n from come where (file_id, n) not in (select file_id, new_col from ren)""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p4_found, p4_grid, p6_found, p6_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p4_found, p4_grid, p5_found, p5_flags, p6_found, p6_unified)}
 SQL = {**P1_SQL, **P2_SQL, **P4_SQL, **P6_SQL}
