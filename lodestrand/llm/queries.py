@@ -9,6 +9,7 @@ from lodestrand.operators.common import table
 
 from .encode import encode_corpus
 from .packing import pack
+from .quality import document_kinds, quality_statistics
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +27,13 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(table(spark, sf_dir, "packing_specs").select("spec_id", "capacity"), "spec_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_packed, p8_fill)}
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_kinds(quality_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_statistics(spark, sf_dir).where("kind <> 'ruling'").select("doc_id", "kind")
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_packed, p8_fill, p9_found, p9_statistics)}
 SQL: dict[str, str] = {}
