@@ -98,7 +98,7 @@ def _probe(r: Registered, df: DataFrame, names: list[str], many: bool) -> T.Data
     """The declared type, else that of the result on one row without nulls."""
     if r.returns:
         return T._parse_datatype_string(r.returns)
-    first = df.select(*[col(n) for n in names]).dropna().limit(1).collect()
+    first = plain(df, names).dropna().limit(1).collect()
     if not first:
         return T.DoubleType()
     out = r.make().transform([list(first[0])] if many else list(first[0]))
