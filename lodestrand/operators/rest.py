@@ -30,6 +30,12 @@ def first_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select("key", F.coalesce(*[col(n) for n in sorted(names)]).alias("value")).where("value is not null")
 
 
+def stretch_width(points: DataFrame) -> int:
+    """The width of STRETCHES stretches over the key range, read from the data (column statistics where the source has them)."""
+    low, high = points.agg(F.min("key"), F.max("key")).first()
+    return 1 if low is None else (high - low) // STRETCHES + 1
+
+
 def with_previous(points: DataFrame, width: int) -> DataFrame:
     """Add previous_key and previous of the point before; width: keys in a stretch."""
     cut = points.withColumn("_stretch", floor_div(F.col("key"), width))

@@ -288,17 +288,20 @@ for _f, _e in {"max": "max(value)", "min": "min(value)", "count": "count(value)"
 
 @query("select event_id as key, round(value - p, 4) as value from (select *, lag(value) over (order by event_id) p from events) where p is not null")
 def rest_diff(spark, sf_dir):
-    return R.diff(_metric(spark, sf_dir), 1000).withColumn("value", F.round("value", 4))
+    points = _metric(spark, sf_dir)
+    return R.diff(points, R.stretch_width(points)).withColumn("value", F.round("value", 4))
 
 
 @query("select event_id as key, round((value - p) * 1000 / (event_id - k), 4) as value from (select *, lag(value) over (order by event_id) p, lag(event_id) over (order by event_id) k from events) where p is not null")
 def rest_rate(spark, sf_dir):
-    return R.rate(_metric(spark, sf_dir), 1000, 1000).withColumn("value", F.round("value", 4))
+    points = _metric(spark, sf_dir)
+    return R.rate(points, 1000, R.stretch_width(points)).withColumn("value", F.round("value", 4))
 
 
 @query("select event_id as key, round(value * 1000 / (event_id - k), 4) as value from (select *, lag(event_id) over (order by event_id) k from events) where k is not null")
 def rest_sampler(spark, sf_dir):
-    return R.sampler(_metric(spark, sf_dir), 1000, 1000).withColumn("value", F.round("value", 4))
+    points = _metric(spark, sf_dir)
+    return R.sampler(points, 1000, R.stretch_width(points)).withColumn("value", F.round("value", 4))
 
 
 @query("select event_id as key, value / 4 as value from events")

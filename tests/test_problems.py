@@ -95,7 +95,7 @@ def test_timestamps_match_an_independent_reader(spark, data):
     [
         ("2024-10-27 02:30:00", "Europe/Berlin", "ymd", 1729989000), ("2024-10-27 02:30:00 CET", "Europe/Berlin", "ymd", 1729992600), ("2024-03-31 02:30:00", "Europe/Berlin", "ymd", None),
         ("03/04/2024 01:02", "UTC", "dmy", 1712106120), ("03/04/2024 01:02", "UTC", "mdy", 1709514120), ("03/04/2024 01:02", "UTC", None, None), ("2024-02-30 00:00:00Z", None, None, None),
-        ("2024-04-07 01:45:00", "Australia/Lord_Howe", "ymd", 1712414700), ("1700000000.5", None, None, 1700000000.5), ("-1", None, None, None), ("", "UTC", None, None), (None, "UTC", None, None), ("x" * 50_000, "UTC", None, None),
+        ("2024-04-07 01:45:00", "Australia/Lord_Howe", "ymd", 1712414700), ("1700000000.5", None, None, 1700000000.5), ("2024-01-01 00:00:00", "No/Where", "ymd", None), ("2024-01-01 00:00:00 [Foo/Bar]", "UTC", "ymd", None), ("2024-01-01 00:00:00 America/New_York", None, "ymd", 1704085200), ("-1", None, None, None), ("", "UTC", None, None), (None, "UTC", None, None), ("x" * 50_000, "UTC", None, None),
     ],
 )
 def test_single_timestamps(spark, text, zone, order, want):
