@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import textwrap
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,21 @@ from .transform import apply_transformer
 DAY = 86_400_000_000_000
 
 
-def open_session(spark: SparkSession, sf_dir: str) -> Session:
-    """The driver's tables as series: events keyed by event_id (events) and by time (ev), orders, customers, parts, suppliers, nations, regions."""
+_KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
+
+
+def open_session(spark: SparkSession, sf_dir: str, statement: str = "FROM events") -> Session:
+    """The driver's tables that a statement names as series: events keyed by event_id (events) and by time (ev), the others by their keys."""
     s = Session(spark)
+    named = lambda prefix: "FROM *" in statement or re.search(rf"\b{prefix}\b", statement)
     t = lambda name: table(spark, sf_dir, name)
-    s.register(t("events").select("event_id", "user_id", "event_type", "value"), "events", "event_id")
-    s.register(t("events").select((F.unix_micros(F.col("ts").cast("timestamp_ltz")) * 1000).alias("key"), "value", "user_id"), "ev")
-    for name, key in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("nation", "n_nationkey"), ("region", "r_regionkey")):
+    if named("events"):
+        s.register(t("events").select("event_id", "user_id", "event_type", "value"), "events", "event_id")
+    if named("ev"):
+        s.register(t("events").select((F.unix_micros(F.col("ts").cast("timestamp_ltz")) * 1000).alias("key"), "value", "user_id"), "ev")
+    for name, key in _KEYS.items():
+        if not named(name):
+            continue
         df = t(name)
         s.register(df.select(F.col(key).cast("long").alias("key"), *[c for c in df.columns]), name)
     return s
@@ -37,7 +46,7 @@ def add(name: str, statement: str, columns: str, sql: str | None, rounded: str =
     names, places = columns.split(), set(rounded.split())
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = open_session(spark, sf_dir).execute(statement)
+        df = open_session(spark, sf_dir, statement).execute(statement)
         return df.select(*[(F.round(col(c), 4) if n in places else col(c)).alias(n) for c, n in zip(df.columns, names, strict=True)])
 
     run.__name__, run.__doc__ = name, statement
