@@ -64,10 +64,7 @@ def _partial(keys: Sequence[str], value: str, out: pa.Schema, delta: float):
         rows = 0
 
         def flush():
-            whole = pa.Table.from_batches(held).combine_chunks().to_pandas()
-            codes = whole.groupby(list(keys), sort=True, dropna=False).ngroup().to_numpy()
-            first = pd.Series(codes).drop_duplicates()
-            names = whole.loc[first.index, list(keys)].set_axis(first.to_numpy()).sort_index()
+            whole, codes, names = _coded(held, keys)
             g, m, w = cluster(codes, whole[value].to_numpy(float), np.ones(len(whole)), delta)
             done = names.loc[g].reset_index(drop=True).assign(part=part, mean=m, weight=w)
             return pa.RecordBatch.from_pandas(done[out.names], schema=out, preserve_index=False)
@@ -85,15 +82,48 @@ def _partial(keys: Sequence[str], value: str, out: pa.Schema, delta: float):
     return run
 
 
-def _merge(keys: Sequence[str], delta: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, m, w = cluster(np.zeros(len(pdf), int), pdf["mean"].to_numpy(float), pdf["weight"].to_numpy(float), delta)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(m) for k in keys}, "mean": m, "weight": w})
+def _coded(batches: Sequence[pa.RecordBatch], keys: Sequence[str]) -> tuple[pd.DataFrame, np.ndarray, pd.DataFrame]:
+    """(rows, number of each row's group, the keys by group number)."""
+    whole = pa.Table.from_batches(batches).combine_chunks().to_pandas()
+    codes = whole.groupby(list(keys), sort=True, dropna=False).ngroup().to_numpy()
+    first = pd.Series(codes).drop_duplicates()
+    return whole, codes, whole.loc[first.index, list(keys)].set_axis(first.to_numpy()).sort_index()
+
+
+def _merge(keys: Sequence[str], out: pa.Schema, delta: float):
+    """Merge the groups of a partition at once; a partition holds centroids only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            whole, codes, names = _coded(held, keys)
+            g, m, w = cluster(codes, whole["mean"].to_numpy(float), whole["weight"].to_numpy(float), delta)
+            done = names.loc[g].reset_index(drop=True).assign(mean=m, weight=w)
+            yield pa.RecordBatch.from_pandas(done[out.names], schema=out, preserve_index=False)
 
     return run
 
 
-def _arrow(schema_text: str, df: DataFrame) -> pa.Schema:
+def _estimate(keys: Sequence[str], probs: Sequence[float], out: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            whole, codes, names = _coded(held, keys)
+            mean, weight = whole["mean"].to_numpy(float), whole["weight"].to_numpy(float)
+            order = np.lexsort((mean, codes))
+            cuts = np.flatnonzero(np.diff(codes[order])) + 1
+            n, found = [], []
+            for rows in np.split(order, cuts):
+                n.append(int(round(weight[rows].sum())))
+                found.append(quantiles(mean[rows], weight[rows], probs))
+            done = names.reset_index(drop=True).assign(n_values=n, found=found)
+            done.columns = out.names
+            yield pa.RecordBatch.from_pandas(done, schema=out, preserve_index=False)
+
+    return run
+
+
+def _arrow(schema_text: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -108,27 +138,23 @@ def digest(df: DataFrame, keys: Sequence[str], value: str, delta: float = DELTA)
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     shape = f"{types}, part int, mean double, weight double"
     kept = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
-    partial = kept.mapInArrow(_partial(keys, value, _arrow(shape, df), delta), shape)
-    parts = partial.groupBy(*keys, "part").applyInPandas(_merge([*keys, "part"], delta), shape)
+    partial = kept.mapInArrow(_partial(keys, value, _arrow(shape), delta), shape)
+    parts = partial.repartition(*keys, "part").mapInArrow(_merge([*keys, "part"], _arrow(shape), delta), shape)
     return merge_digests(parts, keys, delta)
 
 
 def merge_digests(digests: DataFrame, keys: Sequence[str], delta: float = DELTA) -> DataFrame:
     """Merge the centroids of finer groups into those of coarser ones, such as days into the whole."""
     types = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys)
-    return digests.groupBy(*keys).applyInPandas(_merge(keys, delta), f"{types}, mean double, weight double")
+    shape = f"{types}, mean double, weight double"
+    return digests.select(*keys, "mean", "weight").repartition(*keys).mapInArrow(_merge(keys, _arrow(shape), delta), shape)
 
 
 def digest_percentiles(digests: DataFrame, keys: Sequence[str], probs: Sequence[float], name: str = "estimates") -> DataFrame:
     """(keys..., n_values, estimates array<double> in the order of probs)."""
     types = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("mean")
-        w = pdf["weight"].to_numpy(float)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n_values": [int(round(w.sum()))], name: [quantiles(pdf["mean"].to_numpy(float), w, probs)]})
-
-    return digests.groupBy(*keys).applyInPandas(run, f"{types}, n_values bigint, `{name}` array<double>")
+    shape = f"{types}, n_values bigint, `{name}` array<double>"
+    return digests.select(*keys, "mean", "weight").repartition(*keys).mapInArrow(_estimate(keys, probs, _arrow(shape)), shape)
 
 
 def count_ranks(df: DataFrame, keys: Sequence[str], value: str, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
