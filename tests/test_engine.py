@@ -140,17 +140,16 @@ def test_structured_calls_and_precision(spark, session):
     assert got(session.last_query(["us.d1.s1"], 5)) == [(14999, "us.d1.s1", "14999")]
 
 
-class AddOne:
-    def transform(self, rows):
-        return [rows[0]] + [[r[0], r[1] + 1] for r in rows[1:]]
-
-
-class Total:
-    def transform(self, rows):
-        return [["sum"], [sum(r[1] for r in rows[1:])]]
+def test_functions_and_jobs(session, tmp_path):
+    # local classes travel to the workers by value
+    class AddOne:
+        def transform(self, rows):
+            return [rows[0]] + [[r[0], r[1] + 1] for r in rows[1:]]
 
+    class Total:
+        def transform(self, rows):
+            return [["sum"], [sum(r[1] for r in rows[1:])]]
 
-def test_functions_and_jobs(session, tmp_path):
     assert session.execute("SELECT cos(s1) FROM us.d1 WHERE s1 < 3").columns == ["key", "cos(us.d1.s1)"]
     assert got(session.execute("SELECT udf_max(s1) FROM us.d1 WHERE s1 < 30")) == [(29,)]
     (tmp_path / "f.py").write_text("class Rev:\n    def transform(self, rows):\n        return [list(r) for r in rows[::-1]]\n")
