@@ -15,6 +15,8 @@ from .session import Session
 from .transform import apply_transformer
 
 DAY = 86_400_000_000_000
+#: An end beyond any key, for windows over a whole table.
+END = 2**62
 
 
 _KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
@@ -107,6 +109,18 @@ add("downsample_filtered", "SELECT max(value) FROM events WHERE value < 20 GROUP
 add("downsample_bounds", "SELECT count(value) FROM events GROUP (100, 1000] BY 100ns", "key n", "select event_id - (event_id - 101) % 100 as key, count(value) n from events where event_id > 100 and event_id <= 1000 group by 1")
 add("downsample_level", "SELECT count(*) FROM events GROUP [0, 5000) BY 1000ns, LEVEL = 0", "key n", "select event_id - event_id % 1000 as key, count(value) + count(user_id) + count(event_type) n from events where event_id < 5000 group by 1")
 add("downsample_limit", "SELECT max(value) FROM events GROUP [0, 5000) BY 100ns LIMIT 5 OFFSET 3", "key m", "select event_id - event_id % 100 as key, max(value) m from events where event_id < 5000 group by 1 order by 1 limit 5 offset 3")
+# 2.7 and 2.8 over the whole table: the same windows up to an end beyond any key
+for f, e in _AGG.items():
+    add(f"downsample_tumbling_{f}_whole", f"SELECT {f}(value) FROM events GROUP [0, {END}) BY 250ns", f"key {f}_v", f"select event_id - event_id % 250 as key, {e} {f}_v from events where event_id >= 0 group by 1", f"{f}_v" if f in ("sum", "avg") else "")
+add("downsample_hopping_whole", f"SELECT count(value), sum(value), max(value) FROM events GROUP [100, {END}) BY 500ns SLIDE 200ns", "key n s m", """
+    with w as (select 100 + 200 * i b from (select unnest(range(0, (select max(event_id) from events) // 200 + 1)) i)) select b as key, count(value) n, round(sum(value), 4) s, max(value) m from w join events on event_id >= b and event_id < b + 500 group by b""", "s")
+add("downsample_hopping_gaps_whole", f"SELECT count(value), max(value) FROM events GROUP [100, {END}) BY 500ns SLIDE 700ns", "key n m", """
+    with w as (select 100 + 700 * i b from (select unnest(range(0, (select max(event_id) from events) // 700 + 1)) i)) select b as key, count(value) n, max(value) m from w join events on event_id >= b and event_id < b + 500 group by b""")
+add("downsample_filtered_whole", f"SELECT max(value) FROM events WHERE value < 20 GROUP [0, {END}) BY 100ns", "key m", "select event_id - event_id % 100 as key, max(value) m from events where value < 20 and event_id >= 0 group by 1")
+add("downsample_bounds_whole", f"SELECT count(value) FROM events GROUP (100, {END}] BY 100ns", "key n", "select event_id - (event_id - 101) % 100 as key, count(value) n from events where event_id > 100 group by 1")
+add("downsample_level_whole", f"SELECT count(*) FROM events GROUP [0, {END}) BY 1000ns, LEVEL = 0", "key n", "select event_id - event_id % 1000 as key, count(value) + count(user_id) + count(event_type) n from events where event_id >= 0 group by 1")
+add("arith_over_downsample_whole", f"SELECT max(value) - min(value) FROM events GROUP [0, {END}) BY 500ns", "key d", "select event_id - event_id % 500 as key, max(value) - min(value) d from events where event_id >= 0 group by 1")
+add("subquery_nested_agg_whole", f"SELECT max(m) FROM (SELECT avg(value) AS m FROM events GROUP [0, {END}) BY 100ns)", "top", "select round(max(m), 4) top from (select avg(value) m from events where event_id >= 0 group by event_id // 100)", "top")
 # 2.8 expressions
 add("arith_basic", "SELECT value + 1, value - user_id, value * 2.5, -value FROM events", "key a b c d", "select event_id as key, value + 1 a, value - user_id b, value * 2.5::double c, -value d from events")
 add("arith_intdiv_mod", "SELECT user_id / 7, user_id % 7, (user_id + 3) * 2 FROM events", "key a b c", "select event_id as key, user_id // 7 a, user_id % 7 b, (user_id + 3) * 2 c from events")
@@ -248,6 +262,12 @@ def udaf_avg(spark, sf_dir):
     return df.toDF("key", "a", "n").withColumn("a", F.round("a", 4))
 
 
+@query("select event_id - event_id % 1000 as key, round(avg(value), 4) a, count(value) n from events where event_id >= 0 group by 1")
+def udaf_avg_whole(spark, sf_dir):
+    df = open_session(spark, sf_dir).execute(f"SELECT udf_avg(value), udf_count(value) FROM events GROUP [0, {END}) BY 1000ns")
+    return df.toDF("key", "a", "n").withColumn("a", F.round("a", 4))
+
+
 class _AddOne:
     def transform(self, rows):
         return [rows[0]] + [[r[0], r[1] + 1] for r in rows[1:]]
