@@ -125,6 +125,7 @@ add("subquery_nested_agg_whole", f"SELECT max(m) FROM (SELECT avg(value) AS m FR
 add("arith_basic", "SELECT value + 1, value - user_id, value * 2.5, -value FROM events", "key a b c d", "select event_id as key, value + 1 a, value - user_id b, value * 2.5::double c, -value d from events")
 add("arith_intdiv_mod", "SELECT user_id / 7, user_id % 7, (user_id + 3) * 2 FROM events", "key a b c", "select event_id as key, user_id // 7 a, user_id % 7 b, (user_id + 3) * 2 c from events")
 add("arith_double_zero", "SELECT value / 0.0, value % 0.0 FROM events WHERE key < 100", "key a b", "select event_id as key, case when value > 0 then 'infinity'::double when value < 0 then '-infinity'::double else 'nan'::double end a, 'nan'::double b from events where event_id < 100")
+add("arith_double_zero_whole", "SELECT value / 0.0, value % 0.0 FROM events", "key a b", "select event_id as key, case when value > 0 then 'infinity'::double when value < 0 then '-infinity'::double else 'nan'::double end a, 'nan'::double b from events")
 add("arith_over_downsample", "SELECT max(value) - min(value) FROM events GROUP [0, 5000) BY 500ns", "key d", "select event_id - event_id % 500 as key, max(value) - min(value) d from events where event_id < 5000 group by 1")
 add("arith_over_aggregate", "SELECT max(value) - min(value) FROM events", "d", "select max(value) - min(value) d from events")
 # 2.9 sort and limit
@@ -158,20 +159,36 @@ def _two_sides(spark: SparkSession, sf_dir: str) -> Session:
 _SIDES = "with a as (select user_id, max(event_id) k, round(sum(value), 2) v from events where event_id < 3000 group by 1), b as (select user_id, max(event_id) k, count(*) n from events where event_id >= 2900 group by 1) "
 
 
-def add_sides(name: str, clause: str, sql_join: str, keep: str) -> None:
+def _whole_sides(spark: SparkSession, sf_dir: str) -> Session:
+    """The same prefixes over the whole table: users by their clicks and by their views, each with at least one above a value."""
+    s, ev = Session(spark), table(spark, sf_dir, "events")
+    clicks, views = (ev.where(F.col("event_type") == kind).groupBy("user_id") for kind in ("click", "view"))
+    s.register(clicks.agg(F.max("event_id").alias("key"), F.round(F.sum("value"), 2).alias("v"), F.max("value").alias("_top")).where("_top > 150").drop("_top"), "a")
+    s.register(views.agg(F.max("event_id").alias("key"), F.count(F.lit(1)).alias("n"), F.max("value").alias("_top")).where("_top > 150").drop("_top"), "b")
+    return s
+
+
+_WHOLE_SIDES = "with a as (select user_id, max(event_id) k, round(sum(value), 2) v from events where event_type = 'click' group by 1 having max(value) > 150), b as (select user_id, max(event_id) k, count(*) n from events where event_type = 'view' group by 1 having max(value) > 150) "
+
+
+def add_sides(name: str, clause: str, sql_join: str, keep: str, sides=_two_sides, sql_sides: str = _SIDES) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = _two_sides(spark, sf_dir).execute(f"SELECT * FROM a {clause}")
+        df = sides(spark, sf_dir).execute(f"SELECT * FROM a {clause}")
         return df.select(col(f"{keep}.user_id").alias("user_id"), col("a.key").alias("ak"), col("a.v").alias("v"), col("b.key").alias("bk"), col("b.n").alias("n"))
 
     run.__name__ = name
     QUERIES[name] = run
-    SQL[name] = _SIDES + f"select {keep}.user_id, a.k ak, v, b.k bk, n from a {sql_join} join b on a.user_id = b.user_id"
+    SQL[name] = sql_sides + f"select {keep}.user_id, a.k ak, v, b.k bk, n from a {sql_join} join b on a.user_id = b.user_id"
 
 
 add_sides("join_using", "JOIN b USING user_id", "inner", "a")
 add_sides("join_natural", "NATURAL JOIN b", "inner", "a")
 add_sides("join_natural_left", "NATURAL LEFT JOIN b", "left", "a")
 add_sides("join_natural_right", "NATURAL RIGHT JOIN b", "right", "b")
+add_sides("join_using_whole", "JOIN b USING user_id", "inner", "a", _whole_sides, _WHOLE_SIDES)
+add_sides("join_natural_whole", "NATURAL JOIN b", "inner", "a", _whole_sides, _WHOLE_SIDES)
+add_sides("join_natural_left_whole", "NATURAL LEFT JOIN b", "left", "a", _whole_sides, _WHOLE_SIDES)
+add_sides("join_natural_right_whole", "NATURAL RIGHT JOIN b", "right", "b", _whole_sides, _WHOLE_SIDES)
 
 
 def query(sql: str | None = None):

@@ -39,3 +39,16 @@ def test_windows_over_whole_tables(spark, longer, name):
 def test_windows_reach_the_last_event(spark, longer):
     got, _ = both(spark, longer, "downsample_tumbling_count_whole")
     assert sum(r[1] for r in got) == spark.read.parquet(f"{longer}/events.parquet").count() == 20_000
+
+
+@pytest.mark.parametrize("name", ["join_using", "join_natural", "join_natural_left", "join_natural_right", "arith_double_zero"])
+def test_joins_and_zero_divisors_over_whole_tables(spark, longer, name):
+    got, want = both(spark, longer, f"{name}_whole")
+    assert repr(got) == repr(want) and got  # NaN is not equal to itself
+    if name == "arith_double_zero":
+        assert len(got) == 20_000
+
+
+def test_sides_overlap_in_part(spark, longer):
+    left, right, inner = ({r[0] for r in both(spark, longer, f"join_natural{how}_whole")[0]} for how in ("_left", "_right", ""))
+    assert inner == left & right and inner and left - right and right - left
