@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.plans.errors import StatementError
@@ -89,8 +89,8 @@ def best_start(keys: np.ndarray, values: np.ndarray, starts: np.ndarray, query:
 def curve_match(df: DataFrame, names: Sequence[str], query: Sequence[float], unit: int, start: int, end: int) -> DataFrame:
     """(path, key, distance) of the best match among the series of df in [start, end); ties go to the smallest (path, key).
 
-    A series is cut into blocks of start points, each with the points its last stretch needs, so a long series is shared
-    among tasks.  Series without a full stretch give no match, and an empty input gives an empty result.
+    A series is cut into blocks of start points, each with the points its last stretch needs, across gaps of any length, so
+    a long series is shared among tasks.  Series without a full stretch give no match, and an empty input gives an empty result.
     """
     if len(query) < 2:
         raise StatementError("a curve needs two points at least")
@@ -100,7 +100,15 @@ def curve_match(df: DataFrame, names: Sequence[str], query: Sequence[float], uni
     long = points.select("key", "p.*").where("value is not null")
     own = floor_div(F.col("key") - F.lit(start), block)
     # a point serves its own block and, as run-out, the one before it
-    spread = long.withColumn("_own", own).withColumn("_block", F.explode(F.array("_own", F.col("_own") - 1)))
+    placed = long.withColumn("_own", own)
+    spread = placed.withColumn("_block", F.explode(F.array("_own", F.col("_own") - 1)))
+    # and the first point after these two blocks, however far: a stretch that runs into a gap ends on the line to it
+    heads = placed.groupBy("path", "_own").agg(F.min("key").alias("key"), F.min_by("value", "key").alias("value"))
+    scan = Window.partitionBy("path").orderBy("_own")  # over one row for each block
+    ahead = lambda n: F.lead(F.struct("_own", "key", "value"), n).over(scan)
+    later = heads.select("path", F.col("_own").alias("_block"), ahead(1).alias("_one"), ahead(2).alias("_two"))
+    later = later.withColumn("_next", F.when(F.col("_one._own") > F.col("_block") + 1, F.col("_one")).otherwise(F.col("_two"))).where("_next is not null")
+    spread = spread.unionByName(later.select("_next.key", "path", "_next.value", "_next._own", "_block"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")

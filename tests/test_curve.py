@@ -72,3 +72,23 @@ def test_match_is_the_reference_s(spark):
     got = C.curve_match(df, ["a"], query, 7, 0, 10**6).collect()[0]
     d, key = brute(keys, values, query, 7)
     assert got["key"] == key and math.isclose(got["distance"], d, rel_tol=1e-9, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("gaps", [(30,), (10, 5_000), (9, 4_096, 20_000), (6_000, 6_000)])
+def test_match_across_gaps_longer_than_a_block(spark, gaps):
+    """The query is cut from the stretch that ends in a gap, so that only a line across the gap finds it."""
+    rng = np.random.default_rng(len(gaps))
+    parts, at = [], 0
+    for gap in (*gaps, 0):
+        parts.append(np.arange(at, at + 40))
+        at += 40 + gap
+    keys = np.concatenate(parts)
+    values = np.round(rng.normal(0, 3, len(keys)), 2)
+    for part in parts[1:]:
+        values[keys == part[0]] = 4000.0 * (1 + len(gaps))  # a steep line across the gap
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, values, strict=True)], "key bigint, a double")
+    for part in parts[:-1]:
+        query = list(np.interp(part[-1] - 6 + np.arange(10), keys, values))
+        got = C.curve_match(df, ["a"], query, 1, 0, 10**9).collect()[0]
+        d, key = brute(keys, values, query, 1)
+        assert got["key"] == key == part[-1] - 6 and math.isclose(got["distance"], d, abs_tol=1e-9)
