@@ -104,7 +104,7 @@ def inspect(v: np.ndarray, low: float, high: float, d1: np.ndarray, d2: np.ndarr
     starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
     sizes = np.diff(np.r_[starts, n])
     stuck = np.repeat(sizes >= STUCK_RUN, sizes)
-    inside = (v >= low) & (v <= high)
+    inside = (v >= low) & (v <= high) & np.isfinite(v)
     off = np.full(n, np.nan)
     core = np.zeros(n, bool)
     x = v[inside]
@@ -153,7 +153,8 @@ def _shards_with_run_in(points: DataFrame) -> DataFrame:
         F.coalesce(F.first("high_limit"), F.lit(float("inf"))).alias("high_limit"),
     )
     order = Window.partitionBy(*SHARD).orderBy("ts_ms")
-    inside = points.where("reading between low_limit and high_limit")
+    # as in inspect: null limits do not bind, infinite readings are outside
+    inside = points.where("reading >= coalesce(low_limit, double('-infinity')) and reading <= coalesce(high_limit, double('infinity')) and abs(reading) < double('infinity')")
     steps = inside.select(*SOURCE, F.abs(F.col("reading") - F.lag("reading", 1).over(order)).alias("d1"), F.abs(F.col("reading") - F.lag("reading", 2).over(order)).alias("d2"))
     # differences of equal readings in stuck stretches do not hide the noise: percentiles of all, mergeable sketches per source
     noises = steps.groupBy(*SOURCE).agg(F.percentile_approx("d1", [0.5, 0.9], 2000).alias("d1"), F.percentile_approx("d2", [0.5, 0.9], 2000).alias("d2"))
