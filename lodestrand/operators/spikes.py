@@ -32,8 +32,8 @@ RUN_IN, RUN_IN_SHARDS = 32, 8
 NEIGHBOURS = 4
 #: The tail beyond the 99th percentile is carried on exponentially from the 95th and 99th, to a share of 0.01 / TAIL.
 TAIL = 1000.0
-#: Unflagged readings a source needs before it has a normal behaviour.
-LEAST = 20
+#: Unflagged readings a source needs before its own tail sets the bound, and the bound, in noise deviations, with fewer.
+LEAST, SHORT = 20, 3 * GATE
 #: Distances are counted in classes of this ratio.
 CLASS = 1.02
 
@@ -52,7 +52,10 @@ def noise(d1: np.ndarray, d2: np.ndarray) -> tuple[float, float]:
 
 
 def withhold(v: np.ndarray, drift: float, obs: float, gate: float = GATE) -> np.ndarray:
-    """Run the filter; True for readings withheld in runs of at most SPIKE_RUN that the source did not stay at."""
+    """Run the filter; True for readings withheld in runs of at most SPIKE_RUN that the source did not stay at.
+
+    A run that the readings end in counts as well: the source was not seen to stay there.
+    """
     flag = np.zeros(len(v), bool)
     if not len(v):
         return flag
@@ -72,6 +75,7 @@ def withhold(v: np.ndarray, drift: float, obs: float, gate: float = GATE) -> np.
         gain = var / (var + obs)
         level += gain * e
         var *= 1 - gain
+    flag[held] = True
     return flag
 
 
@@ -176,7 +180,7 @@ def _tail_bound(pdf: pd.DataFrame) -> pd.DataFrame:
     share = np.cumsum(n) / n.sum()
     value = 1e-3 * CLASS ** pdf["class"].to_numpy(float)
     q95, q99 = (value[np.searchsorted(share, p)] for p in (0.95, 0.99))
-    bound = q99 + (q99 - q95) * np.log(TAIL) / np.log(5.0) if n.sum() >= LEAST else np.inf
+    bound = q99 + (q99 - q95) * np.log(TAIL) / np.log(5.0) if n.sum() >= LEAST else SHORT
     return pd.DataFrame({"metric_name": [pdf["metric_name"].iloc[0]], "host": [pdf["host"].iloc[0]], "bound": [bound]})
 
 
@@ -186,7 +190,7 @@ def implausible(points: DataFrame) -> DataFrame:
     points: the result of sharded_points(limits=True).  outside: beyond low_limit or high_limit (null limits do not
     bind).  stuck: in a stretch of eight or more equal readings of a source that otherwise hardly repeats itself.
     spike: one to three readings far off their neighbours; readings outside the limits are no neighbours.  Sources with
-    fewer than LEAST normal readings have no spikes.  Infinite readings are outside any limit.
+    fewer than LEAST normal readings have the bound SHORT.  Infinite readings are outside any limit.
     """
     ensure_checkpoint_dir(points.sparkSession)
     seen = _shards_with_run_in(points).mapInPandas(_inspect_shards, _SEEN).checkpoint()

@@ -25,3 +25,23 @@ def test_infinite_readings_are_outside_any_limit():
     v = np.r_[np.arange(30) % 3, np.inf, np.arange(30) % 4, -np.inf]
     outside = K.inspect(v, -np.inf, np.inf, np.ones(2), np.ones(2), slice(0, len(v)))[0]
     assert list(np.flatnonzero(outside)) == [30, 61]
+
+
+def test_spikes_at_the_end_of_a_source(spark):
+    v = 50 + np.random.default_rng(7).normal(0, 1, 300)
+    v[298:] = 80.0
+    for slots in (128, 100_000):
+        assert flagged(spark, v, slots, "m") == (set(), {298, 299})
+    # four readings are a lasting shift
+    v[296:] = 80.0
+    assert flagged(spark, v, metric="m") == (set(), set())
+
+
+def test_spikes_of_short_sources(spark):
+    v = 50 + np.random.default_rng(8).normal(0, 1, 16)
+    assert flagged(spark, v) == (set(), set())
+    v[7] = 90.0
+    assert flagged(spark, v) == (set(), {7})
+    v[15] = 10.0
+    assert flagged(spark, v) == (set(), {7, 15})
+    assert flagged(spark, v[:2]) == flagged(spark, [50.0] * 5) == (set(), set())
