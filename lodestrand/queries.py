@@ -8,6 +8,7 @@ import textwrap
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.udf import Registered
 from .operators import rest as R
 from .operators.common import col, table
 from .operators.curve import curve_match
@@ -295,6 +296,36 @@ def transform_stream(spark, sf_dir):
     return apply_transformer(open_session(spark, sf_dir).execute("SELECT user_id FROM events"), _AddOne, "stream").toDF("key", "u")
 
 
+class _Totals:
+    """A batch task: one row of the whole set."""
+
+    def transform(self, rows):
+        return [["n", "total"], [len(rows) - 1, sum(r[1] for r in rows[1:])]]
+
+
+@query("select count(*) n, sum(user_id)::bigint total from events")
+def transform_batch(spark, sf_dir):
+    return apply_transformer(open_session(spark, sf_dir).execute("SELECT user_id FROM events"), _Totals, "batch").toDF("n", "total")
+
+
+class _Running:
+    """A set-to-set function: the running total in order of the keys."""
+
+    def transform(self, rows):
+        total, out = 0, []
+        for r in rows:
+            total += r[0]
+            out.append([total])
+        return out
+
+
+@query("select (sum(user_id) over (order by event_id))::bigint total from events")
+def udsf_running(spark, sf_dir):
+    s = open_session(spark, sf_dir)
+    s.functions.by_name["running"] = Registered("udsf", "running", _Running, returns="bigint")
+    return s.execute("SELECT running(user_id) FROM events").toDF("total")
+
+
 @query("select distinct event_type from events")
 def transform_distinct(spark, sf_dir):
     return open_session(spark, sf_dir).execute("SELECT event_type FROM events").select(col("events.event_type").alias("event_type")).dropDuplicates()
@@ -332,6 +363,24 @@ for _f, _e in {"max": "max(value)", "min": "min(value)", "count": "count(value)"
     QUERIES[f"rest_{_f}"], SQL[f"rest_{_f}"] = _run, f"select event_id - event_id % 500 as key, {_e} as value from events group by 1"
 
 
+for _f, _e in {"sum": "sum(value)", "avg": "avg(value)"}.items():
+
+    def _run(spark, sf_dir, f=_f):
+        return R.bucketed(_metric(spark, sf_dir), f, 0, END, 500).withColumn("value", F.round("value", 4))
+
+    _run.__name__ = f"rest_{_f}"
+    QUERIES[f"rest_{_f}"], SQL[f"rest_{_f}"] = _run, f"select event_id - event_id % 500 as key, round({_e}, 4) as value from events group by 1"
+
+
+@query("select event_id as key, value from events")
+def rest_save_as(spark, sf_dir):
+    """A metric saved under another name and read back."""
+    s = open_session(spark, sf_dir)
+    saved = {"name": "save_as", "metric_name": "saved.value"}
+    R.query_datapoints(s, {"start_absolute": 0, "end_absolute": END // 10**6, "metrics": [{"name": "events.value", "aggregators": [saved]}]}, 0)
+    return s.execute("SELECT value FROM saved").toDF("key", "value")
+
+
 @query("select event_id as key, round(value - p, 4) as value from (select *, lag(value) over (order by event_id) p from events) where p is not null")
 def rest_diff(spark, sf_dir):
     points = _metric(spark, sf_dir)

@@ -52,3 +52,9 @@ def test_joins_and_zero_divisors_over_whole_tables(spark, longer, name):
 def test_sides_overlap_in_part(spark, longer):
     left, right, inner = ({r[0] for r in both(spark, longer, f"join_natural{how}_whole")[0]} for how in ("_left", "_right", ""))
     assert inner == left & right and inner and left - right and right - left
+
+
+@pytest.mark.parametrize("name", ["rest_sum", "rest_avg", "rest_save_as", "udsf_running", "transform_batch"])
+def test_operators_over_whole_tables(spark, longer, name):
+    got, want = both(spark, longer, name)
+    assert got == want and len(got) == {"rest_sum": 40, "rest_avg": 40, "transform_batch": 1}.get(name, 20_000)
