@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -56,8 +57,10 @@ def merge_latest(df: DataFrame, keys: Sequence[str], order: str, value: str, car
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is set (tests) choose a local one."""
+    """Use the shared folder in spark.checkpoint.dir.  Where it is unset, a session of one machine (local master) gets a folder of its own; a cluster is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lodestrand-checkpoints"))
