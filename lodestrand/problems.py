@@ -10,8 +10,9 @@ from .operators import drift as S
 from .operators import grid as G
 from .operators import rolling as R
 from .operators.common import DAY_NS, floor_div, table
-from .operators.points import sharded_points
+from .operators.points import SHARD_SLOTS, sharded_points
 from .operators.records import holding_values, record_cells
+from .operators.spikes import SHARD_SLOTS as SPIKE_SLOTS
 from .operators.spikes import implausible
 from .operators.timestamps import normalise_points
 
@@ -117,7 +118,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str, limits: bool = False) -> DataFrame:
-    return sharded_points(table(spark, sf_dir, "metric_batches"), table(spark, sf_dir, "metric_catalog"), limits=limits)
+    return sharded_points(table(spark, sf_dir, "metric_batches"), table(spark, sf_dir, "metric_catalog"), SPIKE_SLOTS if limits else SHARD_SLOTS, limits)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
