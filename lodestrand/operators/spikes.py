@@ -50,8 +50,8 @@ _COUNTS = pa.list_(pa.struct([("part", pa.int32()), ("class", pa.int32()), ("n",
 _PACKED = pa.schema([("metric_name", pa.string()), ("host", pa.string()), ("shard", pa.int64()), ("n", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("ts", pa.large_binary()), ("v", pa.large_binary()), ("steps", _COUNTS)])
 _PACKED_DDL = "metric_name string, host string, shard bigint, n bigint, low double, high double, ts binary, v binary, steps array<struct<part int, class int, n bigint>>"
 _FLAGS = pa.list_(pa.struct([("ts_ms", pa.int64()), ("outside", pa.bool_()), ("stuck", pa.bool_()), ("score", pa.float64())]))
-_SEEN = pa.schema([("metric_name", pa.string()), ("host", pa.string()), ("flags", _FLAGS), ("scores", _COUNTS), ("pairs", pa.int64()), ("repeats", pa.int64())])
-_SEEN_DDL = "metric_name string, host string, flags array<struct<ts_ms bigint, outside boolean, stuck boolean, score double>>, scores array<struct<part int, class int, n bigint>>, pairs bigint, repeats bigint"
+_SEEN = pa.schema([("metric_name", pa.string()), ("host", pa.string()), ("flags", _FLAGS), ("counts", _COUNTS)])
+_SEEN_DDL = "metric_name string, host string, flags array<struct<ts_ms bigint, outside boolean, stuck boolean, score double>>, counts array<struct<part int, class int, n bigint>>"
 
 
 def noise(d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +257,7 @@ def _inspect_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             parts += [before, body, behind]
             ends.append((len(before), len(body)))
         x, sizes = np.concatenate(parts), np.array(sizes)
-        d = np.nan_to_num(np.stack([numbers(c) for c in ("d1_50", "d1_90", "d2_50", "d2_90")], axis=1).astype(float))
-        drift, obs = noise(d[:, :2], d[:, 2:])
+        drift, obs = noise(*(np.array([q or (0.0, 0.0) for q in get(c)]) for c in ("d1", "d2")))
         outside, stuck, candidate, score, pair, repeated = inspect_series(x, sizes, numbers("low"), numbers("high"), drift, obs)
         own = np.concatenate([np.arange(at + n0, at + n0 + n) for at, (n0, n) in zip(begins, ends, strict=True)])
         lane = np.repeat(np.arange(len(sizes)), [n for _, n in ends])
@@ -268,9 +267,13 @@ def _inspect_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = pa.StructArray.from_arrays([pa.array(ts[seen]), pa.array(outside[seen]), pa.array(stuck[seen]), pa.array(score[seen], mask=~candidate[seen])], fields=list(_FLAGS.value_type))
         flags = pa.ListArray.from_arrays(pa.array(np.searchsorted(lane[seen], np.arange(len(sizes) + 1)).astype(np.int32)), rows)
         normal = np.flatnonzero(~candidate & ~np.isnan(score))
-        scores = _counted(lane[normal], np.zeros(len(normal), np.int64), _classes(np.maximum(score[normal], 1e-3)), len(sizes))
-        count = lambda flag: pa.array(np.bincount(lane[flag], minlength=len(sizes)))  # noqa: E731, B023
-        yield pa.RecordBatch.from_arrays([b.column("metric_name"), b.column("host"), flags, scores, count(pair), count(repeated)], schema=_SEEN)
+        # part 0: innovations by class; part 1: pairs (class 0) and repeated ones among them (class 1)
+        pairs, repeats = np.flatnonzero(pair), np.flatnonzero(repeated)
+        counts = _counted(
+            lane[np.r_[normal, pairs, repeats]], np.repeat([0, 1], [len(normal), len(pairs) + len(repeats)]),
+            np.r_[_classes(np.maximum(score[normal], 1e-3)), np.zeros(len(pairs), np.int64), np.ones(len(repeats), np.int64)], len(sizes),
+        )
+        yield pa.RecordBatch.from_arrays([b.column("metric_name"), b.column("host"), flags, counts], schema=_SEEN)
 
 
 def _shards(points: DataFrame) -> DataFrame:
@@ -280,16 +283,10 @@ def _shards(points: DataFrame) -> DataFrame:
     return placed.sortWithinPartitions("_place", "ts_ms").mapInArrow(_pack, _PACKED_DDL)
 
 
-def _class_quantiles(counts: DataFrame, part: int, probs: dict[str, float]) -> DataFrame:
-    """Per source the number of counted values (n) and the middles of the classes that hold the quantiles; counts: (SOURCE, part, class, n)."""
-    by = Window.partitionBy(*SOURCE)
-    ranked = counts.where(F.col("part") == part).withColumns({"upto": F.sum("n").over(by.orderBy("class")), "total": F.sum("n").over(by)})
-    edge = lambda c: F.when(c == _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(CLASS), c + 0.5))
-    return ranked.groupBy(*SOURCE).agg(F.max("total").alias("n_values"), *[edge(F.min(F.when(F.col("upto") >= F.col("total") * p, F.col("class")))).alias(name) for name, p in probs.items()])
-
-
-def _class_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.select(*SOURCE, F.inline(column)).groupBy(*SOURCE, "part", "class").agg(F.sum("n").alias("n"))
+def _percentiles(part: int, probs: list[float]):
+    """Percentiles of the numbers counted in a part's classes, read from the counts; each task sends one small map per source."""
+    own = f"if(part = {part}, class, null)"
+    return F.transform(F.expr(f"percentile({own}, array({', '.join(f'{p}D' for p in probs)}), n)"), lambda c: F.when(c <= _ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(CLASS), c + 0.5)))
 
 
 def _around(shards: DataFrame) -> DataFrame:
@@ -323,14 +320,17 @@ def implausible(points: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(points.sparkSession)
     shards = _shards(points).checkpoint()
-    steps = _class_counts(shards, "steps")
-    d1, d2 = (_class_quantiles(steps, k, {f"d{k + 1}_50": 0.5, f"d{k + 1}_90": 0.9}).drop("n_values") for k in (0, 1))
-    known = shards.drop("steps", "n").join(_around(shards), list(SHARD), "left").join(d1, list(SOURCE), "left").join(d2, list(SOURCE), "left")
+    steps = shards.select(*SOURCE, F.inline("steps")).groupBy(*SOURCE).agg(_percentiles(0, [0.5, 0.9]).alias("d1"), _percentiles(1, [0.5, 0.9]).alias("d2"))
+    # what a shard needs of its source is joined to its name, so that the readings move once
+    named = shards.select(*SHARD).join(steps, list(SOURCE), "left")
+    known = shards.drop("steps", "n").join(named, list(SHARD)).join(_around(shards), list(SHARD), "left")
     seen = known.mapInArrow(_inspect_shards, _SEEN_DDL).checkpoint()
-    tail = _class_quantiles(_class_counts(seen, "scores"), 0, {"q95": 0.95, "q99": 0.99})
-    growth = float(np.log(TAIL) / np.log(5.0))
-    own = F.when(F.col("n_values") >= LEAST, F.greatest(F.lit(GATE), F.col("q99") + (F.col("q99") - F.col("q95")) * growth)).otherwise(F.lit(SHORT))
-    habits = seen.groupBy(*SOURCE).agg((F.sum("repeats") / F.greatest(F.sum("pairs"), F.lit(1))).alias("share"))
-    flags = seen.select(*SOURCE, F.inline("flags")).join(habits.join(tail.select(*SOURCE, own.alias("bound")), list(SOURCE), "left"), list(SOURCE))
-    stuck, spike = F.col("stuck") & (F.col("share") <= REPEATS), F.coalesce(F.col("score") >= F.coalesce("bound", F.lit(SHORT)), F.lit(False))
+    counted = lambda part, c: F.sum(F.when((F.col("part") == part) & (F.col("class") == c), F.col("n")))
+    habits = seen.select(*SOURCE, F.inline("counts")).groupBy(*SOURCE).agg(
+        F.sum(F.when(F.col("part") == 0, F.col("n"))).alias("n_values"), _percentiles(0, [0.95, 0.99]).alias("q"), (counted(1, 1) / counted(1, 0)).alias("share")
+    )
+    q95, q99 = F.col("q")[0], F.col("q")[1]
+    own = F.when(F.col("n_values") >= LEAST, F.greatest(F.lit(GATE), q99 + (q99 - q95) * float(np.log(TAIL) / np.log(5.0)))).otherwise(F.lit(SHORT))
+    flags = seen.select(*SOURCE, F.inline("flags")).join(habits.select(*SOURCE, "share", own.alias("bound")), list(SOURCE), "left")
+    stuck, spike = F.col("stuck") & (F.coalesce("share", F.lit(0.0)) <= REPEATS), F.coalesce(F.col("score") >= F.coalesce("bound", F.lit(SHORT)), F.lit(False))
     return flags.select(*SOURCE, "ts_ms", "outside", stuck.alias("stuck"), spike.alias("spike")).where("outside or stuck or spike")
