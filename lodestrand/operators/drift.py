@@ -1,8 +1,9 @@
 """Schemas that drift between files: report every change of a column and read all files into one table.
 
-Each column of a file is profiled by its values at the keys that the file shares with the one before it (a value sketch
-that needs no pass over the rest), its type and its name.  Columns that only one of two consecutive files has are matched
-by a maximum-weight bipartite matching over these profiles; matched ones are renames, the rest is added or removed.
+Columns that only one of two consecutive files has are profiled over all rows of their file by mergeable sketches: a
+min-hash signature of the values and the moments of their numbers and lengths.  A maximum-weight bipartite matching over the
+likeness of sketches, types and names pairs those that went with those that came; where the files share keys, the values at
+them decide which pairs are possible at all.  Matched columns are renames, the rest is added or removed.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir, floor_div
+from .common import broadcast_if_small, ensure_checkpoint_dir, floor_div
 
 # Spellings of one type.
 SAME_TYPE = {"INTEGER": "INT32", "BIGINT": "INT64", "VARCHAR": "BYTE_ARRAY"}
 #: Types in order of width; a column holding several has the widest, and text if a BOOLEAN meets another type.
 WIDTH = ("INT32", "INT64", "FLOAT", "DOUBLE")
-#: Rows at the start of a file that repeat keys of the file before it.
-OVERLAP = 2
+#: Hash orders of a min-hash signature.
+HASHES = 16
+#: Weights of the likeness of distributions, of value sets, of types and of names, and the total from which columns without shared keys are one.
+WEIGHTS, ENOUGH = {"spread": 0.5, "values": 0.3, "type": 0.15, "name": 0.3}, 0.7
+#: Files whose ids are broadcast: two numbers each.
+FILE_IDS = 200_000
 #: Files of a data set that are put in order together; a data set of any size is cut into such stretches.
 STRETCH = 1024
 
@@ -55,17 +60,6 @@ def consecutive_files(files: DataFrame) -> DataFrame:
     return old.where("old is not null").select("dataset", "seq_no", "file_id", "names", "types", F.col("old.file_id").alias("old_id"), F.col("old.names").alias("old_names"), F.col("old.types").alias("old_types"))
 
 
-def _same(a, b) -> bool:
-    if a is None or b is None:
-        return a is None and b is None
-    if a == b:
-        return True
-    try:
-        return float(a) == float(b)
-    except ValueError:
-        return False
-
-
 def _likeness(a: str, b: str) -> float:
     """Share of common letter pairs of two names, regardless of case."""
     pairs = [{s.lower()[i : i + 2] for i in range(len(s) - 1)} for s in (a, b)]
@@ -105,18 +99,18 @@ def best_matching(weight: list[list[float]]) -> list[tuple[int, int]]:
             row_of[j], col_of[i], j = i, j, col_of[i]
 
 
-def compare_columns(old: dict, new: dict, rows: list[tuple[list, list]]) -> list[tuple[str, str, str]]:
-    """Changes from old to new; both map a name to (position, type), rows hold (old cells, new cells) of shared keys."""
+def compare_columns(old: dict, new: dict, evidence: dict[tuple[int, int], dict]) -> list[tuple[str, str, str]]:
+    """Changes from old to new; both map a name to (position, type), evidence has the likeness of two positions and what their shared keys say."""
     gone, come = [c for c in old if c not in new], [c for c in new if c not in old]
 
     def weight(a: str, b: str) -> float:
         (i, s), (j, t) = old[a], new[b]
-        if "BOOLEAN" in (s, t) or not rows:
+        seen = evidence.get((i, j))
+        if seen is None or "BOOLEAN" in (s, t) or seen["shared"] > seen["equal"]:
             return 0.0
-        seen = [(x[i] if i < len(x) else None, y[j] if j < len(y) else None) for x, y in rows]
-        if not all(_same(x, y) for x, y in seen) or all(x is None for x, _ in seen):
-            return 0.0
-        return 1.0 + 0.1 * (s == t) + 0.1 * _likeness(a, b)
+        alike = WEIGHTS["spread"] * seen["spread"] + WEIGHTS["values"] * seen["common"] + WEIGHTS["type"] * (s == t or (s in WIDTH and t in WIDTH) / 2) + WEIGHTS["name"] * _likeness(a, b)
+        # equal values at the shared keys, one at least not null, prove a rename; without them the likeness has to be enough
+        return 1.0 + alike if seen["known"] else alike if alike >= ENOUGH and not seen["shared"] else 0.0
 
     renamed = [(gone[i], come[j]) for i, j in best_matching([[weight(a, b) for b in come] for a in gone])]
     left, right = {a for a, _ in renamed}, {b for _, b in renamed}
@@ -135,25 +129,86 @@ def _compare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         found = []
-        for f, names, types, old_names, old_types, rows in zip(pdf["file_id"], pdf["names"], pdf["types"], pdf["old_names"], pdf["old_types"], pdf["rows"], strict=True):
-            pairs = [] if rows is None else [(list(r["old_cells"]), list(r["cells"])) for r in rows]
-            found += [(f, *c) for c in compare_columns(columns(old_names, old_types), columns(names, types), pairs)]
+        for f, names, types, old_names, old_types, evidence in zip(pdf["file_id"], pdf["names"], pdf["types"], pdf["old_names"], pdf["old_types"], pdf["evidence"], strict=True):
+            seen = {} if evidence is None else {(r["i"], r["j"]): r for r in evidence}
+            found += [(f, *c) for c in compare_columns(columns(old_names, old_types), columns(names, types), seen)]
         yield pd.DataFrame(found, columns=["file_id", "change", "old_col", "new_col"])
 
 
-def column_changes(headers: DataFrame, rows: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+def number(cell):
+    """A cell as a number, null if it is none; words such as NaN and marks of width are no numbers."""
+    return F.when(~cell.rlike("[A-Za-z]$"), cell.try_cast("double"))
+
+
+def candidate_pairs(pairs: DataFrame) -> DataFrame:
+    """(file_id, old_id, i, j): positions of a column that only the old file has and of one that only the new file has."""
+    lost = lambda own, kinds, other: F.array_compact(F.transform(own, lambda n, i: F.when(~F.array_contains(other, n) & (F.get(kinds, i) != "BOOLEAN"), i)))
+    each = pairs.select("file_id", "old_id", lost("old_names", "old_types", F.col("names")).alias("gone"), lost("names", "types", F.col("old_names")).alias("come"))
+    return each.select("file_id", "old_id", "come", F.explode("gone").alias("i")).select("file_id", "old_id", "i", F.explode("come").alias("j"))
+
+
+def column_sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file_id, position, sketch) of the wanted (file_id, positions), over all rows of a file.
+
+    Each part of a sketch is a minimum or a sum, so that those of parts of a file merge into that of the file; tasks send one
+    sketch per column.  Null cells take no part.
+    """
+    cells = rows.join(wanted, "file_id").select("file_id", F.inline(F.transform("positions", lambda p: F.struct(p.alias("position"), F.get("cells", p).alias("cell"))))).where("cell is not null")
+    typed = cells.select("file_id", "position", F.xxhash64("cell").alias("h"), number(F.col("cell")).alias("x"), F.length("cell").cast("double").alias("size"))
+    # exclusive or with a fixed number is another order of the hashes
+    orders = [F.min(F.col("h").bitwiseXOR(F.xxhash64(F.lit(k)))) for k in range(HASHES)]
+    moments = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.count("x").alias("numbers"), F.count(F.lit(1)).alias("n"), F.avg("size").alias("size"), F.stddev_pop("size").alias("size_deviation")]
+    return typed.groupBy("file_id", "position").agg(F.array(*orders).alias("least"), *moments).select("file_id", "position", F.struct("least", *[c for c in ("mean", "deviation", "numbers", "n", "size", "size_deviation")]).alias("sketch"))
+
+
+def _alike(a: str, b: str):
+    """(likeness of value sets, likeness of distributions) of two sketches, from 0 to 1; 0 without values."""
+    of = lambda s, c: F.col(f"{s}.{c}")
+    common = F.size(F.filter(F.zip_with(of(a, "least"), of(b, "least"), lambda x, y: x == y), lambda same: same)) / F.lit(float(HASHES))
+
+    def near(mean, deviation):
+        width = of(a, deviation) + of(b, deviation)
+        gap = F.abs(of(a, mean) - of(b, mean))
+        low, high = F.least(of(a, deviation), of(b, deviation)), F.greatest(of(a, deviation), of(b, deviation))
+        return F.when(width == 0, F.when(gap == 0, 1.0).otherwise(0.0)).otherwise(F.exp(-gap / F.greatest(width, F.lit(1e-300))) * F.sqrt(low / F.greatest(high, F.lit(1e-300))))
+
+    numeric = (2 * of(a, "numbers") > of(a, "n")) & (2 * of(b, "numbers") > of(b, "n"))
+    plain = (2 * of(a, "numbers") <= of(a, "n")) & (2 * of(b, "numbers") <= of(b, "n"))
+    spread = F.when(numeric, near("mean", "deviation")).when(plain, near("size", "size_deviation")).otherwise(0.0)
+    return F.coalesce(common, F.lit(0.0)), F.coalesce(spread, F.lit(0.0))
+
+
+def column_changes(headers: DataFrame, rows: DataFrame) -> DataFrame:
     """(file_id, change, old_col, new_col): added, removed, renamed and retyped columns of each readable file.
 
     A file is compared with the readable one before it by seq_no.  Files without a header are skipped, of copies the
-    smallest file_id counts, null names are no columns and a repeated name counts once.  Files that share no key with
-    the one before them have no renames.  Only the rows at the shared keys travel to a file's comparison.
+    smallest file_id counts, null names are no columns and a repeated name counts once.  A rename needs equal values at all keys the two
+    files share (null only where the other is; texts are equal if their numbers are), or, where they share none, sketches, types and names
+    that are alike enough.  BOOLEAN columns are never renamed.
     """
     pairs = consecutive_files(readable_files(headers))
-    begin = rows.where((F.col("row_no") <= overlap) & F.col("cells").isNotNull()).select("file_id", "rec_key", "cells")
-    linked = begin.join(pairs.select("file_id", "old_id"), "file_id")
-    before = rows.where("cells is not null").select(F.col("file_id").alias("old_id"), "rec_key", F.col("cells").alias("old_cells"))
-    shared = linked.join(before, ["old_id", "rec_key"]).groupBy("file_id").agg(F.collect_list(F.struct("rec_key", "old_cells", "cells")).alias("rows"))
-    full = pairs.join(shared, "file_id", "left").select("file_id", "names", "types", "old_names", "old_types", "rows")
+    candidates = candidate_pairs(pairs)
+    sides = candidates.select("file_id", F.col("j").alias("position")).unionAll(candidates.select(F.col("old_id").alias("file_id"), F.col("i").alias("position")))
+    wanted = sides.groupBy("file_id").agg(F.collect_set("position").alias("positions"))
+    kept = rows.where("cells is not null and file_id is not null").select("file_id", "rec_key", "cells")
+    sketches = column_sketches(kept.drop("rec_key"), broadcast_if_small(wanted, FILE_IDS))
+    # rows at the keys that two consecutive files share, for files with candidates only
+    linked = kept.join(broadcast_if_small(candidates.select("file_id", "old_id").distinct(), FILE_IDS), "file_id")
+    olds = candidates.select(F.col("old_id").alias("file_id")).distinct()
+    before = kept.join(broadcast_if_small(olds, FILE_IDS), "file_id").select(F.col("file_id").alias("old_id"), "rec_key", F.col("cells").alias("old_cells"))
+    shared = linked.join(before, ["old_id", "rec_key"]).select("file_id", "cells", "old_cells")
+    a, b = F.get("old_cells", F.col("i")), F.get("cells", F.col("j"))
+    same = F.coalesce(a.eqNullSafe(b) | (number(a) == number(b)), F.lit(False))
+    told = shared.join(candidates.select("file_id", "i", "j"), "file_id").groupBy("file_id", "i", "j").agg(F.count(F.lit(1)).alias("shared"), F.count_if(same).alias("equal"), F.max(same & a.isNotNull()).alias("known"))
+    common, spread = _alike("old_sketch", "new_sketch")
+    evidence = (
+        candidates.join(sketches.select(F.col("file_id").alias("old_id"), F.col("position").alias("i"), F.col("sketch").alias("old_sketch")), ["old_id", "i"], "left")
+        .join(sketches.select("file_id", F.col("position").alias("j"), F.col("sketch").alias("new_sketch")), ["file_id", "j"], "left")
+        .join(told, ["file_id", "i", "j"], "left")
+        .groupBy("file_id")
+        .agg(F.collect_list(F.struct("i", "j", common.alias("common"), spread.alias("spread"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("equal", F.lit(0)).alias("equal"), F.coalesce("known", F.lit(False)).alias("known"))).alias("evidence"))
+    )
+    full = pairs.join(evidence, "file_id", "left").select("file_id", "names", "types", "old_names", "old_types", "evidence")
     return full.mapInPandas(_compare_batches, "file_id bigint, change string, old_col string, new_col string")
 
 

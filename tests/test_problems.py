@@ -203,3 +203,29 @@ def test_entry_without_text_subpackage():
     import __spark_entry__ as e
 
     assert {"p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_found"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_renames_without_shared_keys(spark):
+    rng = np.random.default_rng(12)
+    towns = ["Oslo", "Bergen", "Bodo", "Tromso"]
+
+    def cells(file_id, first, names):
+        n = 200
+        made = {"temperature": rng.normal(20, 3, n), "pressure": rng.normal(1013, 8, n), "town": rng.choice(towns, n), "serial": rng.integers(0, 10**9, n), "flag": rng.choice(["t", "f"], n)}
+        return [(file_id, k + 1, first + k, [None if k % 50 == 7 else str(made[c][k]) for c in names]) for k in range(n)]
+
+    order = ["temperature", "pressure", "town", "serial", "flag"]
+    heads = [(1, "d", 1, order, ["DOUBLE", "DOUBLE", "BYTE_ARRAY", "INT64", "BOOLEAN"]), (2, "d", 2, ["place_town", "temp", "press_hpa", "note", "flag2"], ["VARCHAR", "FLOAT", "DOUBLE", "VARCHAR", "BOOLEAN"])]
+    data = cells(1, 0, order) + [(f, r, k, [c[2], c[0], c[1], "".join(rng.choice(list("abcdefgh"), int(rng.integers(20, 90)))), c[4]]) for f, r, k, c in cells(2, 1000, order)]
+    got = rows(S.column_changes(spark.createDataFrame(heads, HEADERS), spark.createDataFrame(data, CELLS)))
+    want = [(2, "renamed", "temperature", "temp"), (2, "renamed", "pressure", "press_hpa"), (2, "renamed", "town", "place_town"), (2, "retyped", "temperature", "temp"), (2, "removed", "serial", ""), (2, "added", "", "note"), (2, "removed", "flag", ""), (2, "added", "", "flag2")]
+    assert got == sorted(want, key=repr)
+
+
+def test_sketches_merge(spark):
+    data = [(1, k, k, [str(k % 7), None if k % 2 else f"v{k}"]) for k in range(100)]
+    wanted = spark.createDataFrame([(1, [0, 1, 5])], "file_id bigint, positions array<int>")
+    one, many = (S.column_sketches(spark.createDataFrame(data, CELLS).repartition(n), wanted).collect() for n in (1, 7))
+    assert len(one) == len(many) == 2
+    for a, b in zip(sorted(one), sorted(many), strict=True):
+        assert a["sketch"]["least"] == b["sketch"]["least"] and a["sketch"]["n"] == b["sketch"]["n"] and math.isclose(a["sketch"]["size"], b["sketch"]["size"])
