@@ -14,7 +14,7 @@ from .operators.points import SHARD_SLOTS, sharded_points
 from .operators.records import holding_values, record_cells
 from .operators.spikes import SHARD_SLOTS as SPIKE_SLOTS
 from .operators.spikes import implausible
-from .operators.timestamps import normalise_points
+from .operators.timestamps import apply_offsets, infer_offsets, normalise_points
 
 # --- p1 -------------------------------------------------------------------------------------------------------------
 P1_PERIODS = {**R.TRAILING, "old": (29, 23)}
@@ -114,6 +114,34 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_points(table(spark, sf_dir, "raw_points"), table(spark, sf_dir, "feeds")).select("raw_id", "rec_key")
 
 
+#: Planted clocks: a device's quarter hours east of UTC by its last letter, and one hour more from 2025-06-20T01:00Z on.
+_TURN_S = 1_750_381_200
+_EAST = "((ascii(right(device, 1)) % 23) - 11) * 3600 + (ascii(right(device, 1)) % 4) * 900"
+#: Records that a device needs on either side of the change to be listed.
+_SIDES_N = 20
+
+
+def p3_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of planted device clocks, found by aligning their local times with the times of arrival alone.
+
+    Per device with enough records on both sides of the change: its first and last offset, the number of its records, and whether 95 % of their instants are restored.
+    """
+    at = F.col("rec_key").cast("long")
+    kept = table(spark, sf_dir, "records").where("device is not null and rec_key > 0 and recv_at is not null").select("device", floor_div(at, 1_000_000_000).alias("true_s"), F.unix_seconds(F.col("recv_at").cast("timestamp_ltz")).alias("recv_s"))
+    clocks = kept.withColumn("local_s", F.col("true_s") + F.expr(_EAST).cast("long") + F.when(F.col("true_s") >= _TURN_S, 3600).otherwise(0))
+    offsets = infer_offsets(clocks, "device", "local_s", "recv_s", max_lag_s=900)
+    history = offsets.groupBy(F.col("source").alias("device")).agg(F.min_by("offset_s", "period").alias("first_offset_s"), F.max_by("offset_s", "period").alias("last_offset_s"))
+    late = F.count_if(F.col("true_s") >= _TURN_S)
+    restored = apply_offsets(clocks, "device", "local_s", offsets, most_violations=0.5).groupBy("device").agg(F.count(F.lit(1)).alias("n"), late.alias("late"), F.count_if(F.col("utc_s") == F.col("true_s")).alias("right"))
+    enough = (F.col("late") >= _SIDES_N) & (F.col("n") - F.col("late") >= _SIDES_N)
+    return restored.where(enough).join(history, "device").select("device", "first_offset_s", "last_offset_s", "n", (F.col("right") >= 0.95 * F.col("n")).alias("restored"))
+
+
+P3_SQL = {
+    "p3_inferred": f"""select device, ({_EAST})::bigint first_offset_s, ({_EAST})::bigint + 3600 last_offset_s, count(*) n, true restored from records where device is not null and rec_key > 0 and recv_at is not null
+group by device having count_if(rec_key // 1000000000 >= {_TURN_S}) >= {_SIDES_N} and count_if(rec_key // 1000000000 < {_TURN_S}) >= {_SIDES_N}""",
+}
+
 # --- p4 -------------------------------------------------------------------------------------------------------------
 
 
@@ -166,22 +194,33 @@ def p6_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TYPE = "case upper(trim({0})) when 'INTEGER' then 'INT32' when 'BIGINT' then 'INT64' when 'VARCHAR' then 'BYTE_ARRAY' else upper(trim({0})) end"
-P6_SQL = {
-    "p6_found": f"""
-with f as (select dataset, seq_no, min(file_id) file_id from file_headers where col_names is not null group by all),
+_DRIFT_CTE = f"""
+with recursive f as (select dataset, seq_no, min(file_id) file_id from file_headers where col_names is not null group by all),
 p as (select file_id, lag(file_id) over (partition by dataset order by seq_no) old_id from f),
 c as (select file_id, unnest(col_names) n, {_TYPE.format("unnest(col_types)")} t, unnest(range(len(col_names))) i from file_headers where col_names is not null),
 v as (select r.file_id, r.rec_key, c.n, r.cells[c.i + 1] x from file_rows r join c using (file_id)),
 gone as (select p.file_id, p.old_id, n, t from p join c on c.file_id = p.old_id where not exists (from c d where d.file_id = p.file_id and d.n = c.n)),
 come as (select p.file_id, p.old_id, n, t from p join c using (file_id) where p.old_id is not null and not exists (from c d where d.file_id = p.old_id and d.n = c.n)),
 ren as (select g.file_id, g.n old_col, h.n new_col, g.t old_t, h.t new_t from gone g join come h using (file_id) join v a on a.file_id = g.old_id and a.n = g.n join v b on b.file_id = g.file_id and b.n = h.n and b.rec_key = a.rec_key
-  where g.t <> 'BOOLEAN' and h.t <> 'BOOLEAN' group by all having bool_and(coalesce(a.x = b.x or try_cast(a.x as double) = try_cast(b.x as double), false)))
+  where g.t <> 'BOOLEAN' and h.t <> 'BOOLEAN' group by all having bool_and(coalesce(a.x = b.x or try_cast(a.x as double) = try_cast(b.x as double), false)))"""
+P6_SQL = {
+    "p6_found": _DRIFT_CTE + """
 select file_id, 'renamed' change, old_col, new_col from ren
 union all select file_id, 'retyped', old_col, new_col from ren where old_t <> new_t
 union all select p.file_id, 'retyped', a.n, a.n from p join c a on a.file_id = p.old_id join c b on b.file_id = p.file_id and a.n = b.n where a.t <> b.t
 union all select file_id, 'removed', n, '' from gone where (file_id, n) not in (select file_id, old_col from ren)
 union all select file_id, 'added', '', n from come where (file_id, n) not in (select file_id, new_col from ren)""",
-}
+    "p6_unified": _DRIFT_CTE + """,
+link as (select dataset, seq_no at_no, old_col, new_col from ren join f using (file_id)),
+chained as (select l.*, (select min(m.at_no) from link m where m.dataset = l.dataset and m.old_col = l.new_col and m.at_no > l.at_no) next_no from link l),
+walk as (select dataset, at_no, old_col, new_col last_col, next_no from chained
+  union all select w.dataset, w.at_no, w.old_col, l.new_col, l.next_no from walk w join chained l on l.dataset = w.dataset and l.at_no = w.next_no and l.old_col = w.last_col),
+ends as (select dataset, at_no, old_col, last_col from walk where next_no is null),
+named as (select f.dataset, f.file_id, c.n, c.t, c.i, coalesce((select arg_min(e.last_col, e.at_no) from ends e where e.dataset = f.dataset and e.old_col = c.n and e.at_no > f.seq_no), c.n) as "column" from f join c using (file_id)),
+kinds as (select dataset, "column", min(t) low_t, max(t) high_t, list_position(['INT32', 'INT64', 'FLOAT', 'DOUBLE'], t) w from named group by dataset, "column", t),
+typed as (select dataset, "column", case when min(low_t) = max(high_t) then min(low_t) when bool_and(w is not null) then (['INT32', 'INT64', 'FLOAT', 'DOUBLE'])[max(w)] else 'BYTE_ARRAY' end col_type from kinds group by 1, 2)
+select dataset, n.file_id, r.row_no, r.rec_key, n."column", col_type, r.cells[n.i + 1] cell from named n join typed using (dataset, "column") join file_rows r on r.file_id = n.file_id""",
+}
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p4_found, p4_grid, p5_found, p5_flags, p6_found, p6_unified)}
-SQL = {**P1_SQL, **P2_SQL, **P4_SQL, **P6_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p3_inferred, p4_found, p4_grid, p5_found, p5_flags, p6_found, p6_unified)}
+SQL = {**P1_SQL, **P2_SQL, **P3_SQL, **P4_SQL, **P6_SQL}
