@@ -186,10 +186,12 @@ def column_changes(headers: DataFrame, rows: DataFrame) -> DataFrame:
     files share (null only where the other is; texts are equal if their numbers are), or, where they share none, sketches, types and names
     that are alike enough.  BOOLEAN columns are never renamed.
     """
-    pairs = consecutive_files(readable_files(headers))
+    ensure_checkpoint_dir(headers.sparkSession)
+    pairs = consecutive_files(readable_files(headers)).checkpoint()  # put in order once: one row for each file
     candidates = candidate_pairs(pairs)
-    sides = candidates.select("file_id", F.col("j").alias("position")).unionAll(candidates.select(F.col("old_id").alias("file_id"), F.col("i").alias("position")))
-    wanted = sides.groupBy("file_id").agg(F.collect_set("position").alias("positions"))
+    both = F.array(F.struct(F.col("old_id").alias("at"), F.col("i").alias("position"), F.lit(True).alias("is_old")), F.struct(F.col("file_id").alias("at"), F.col("j").alias("position"), F.lit(False).alias("is_old")))
+    sides = candidates.select("file_id", "i", "j", F.inline(both))
+    wanted = sides.groupBy(F.col("at").alias("file_id")).agg(F.collect_set("position").alias("positions"))
     kept = rows.where("cells is not null and file_id is not null").select("file_id", "rec_key", "cells")
     sketches = column_sketches(kept.drop("rec_key"), broadcast_if_small(wanted, FILE_IDS))
     # rows at the keys that two consecutive files share, for files with candidates only
@@ -201,13 +203,10 @@ def column_changes(headers: DataFrame, rows: DataFrame) -> DataFrame:
     same = F.coalesce(a.eqNullSafe(b) | (number(a) == number(b)), F.lit(False))
     told = shared.join(candidates.select("file_id", "i", "j"), "file_id").groupBy("file_id", "i", "j").agg(F.count(F.lit(1)).alias("shared"), F.count_if(same).alias("equal"), F.max(same & a.isNotNull()).alias("known"))
     common, spread = _alike("old_sketch", "new_sketch")
-    evidence = (
-        candidates.join(sketches.select(F.col("file_id").alias("old_id"), F.col("position").alias("i"), F.col("sketch").alias("old_sketch")), ["old_id", "i"], "left")
-        .join(sketches.select("file_id", F.col("position").alias("j"), F.col("sketch").alias("new_sketch")), ["file_id", "j"], "left")
-        .join(told, ["file_id", "i", "j"], "left")
-        .groupBy("file_id")
-        .agg(F.collect_list(F.struct("i", "j", common.alias("common"), spread.alias("spread"), F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("equal", F.lit(0)).alias("equal"), F.coalesce("known", F.lit(False)).alias("known"))).alias("evidence"))
-    )
+    of = lambda is_old: F.max(F.when(F.col("is_old") == is_old, F.col("sketch")))
+    met = sides.join(sketches.withColumnRenamed("file_id", "at"), ["at", "position"], "left").groupBy("file_id", "i", "j").agg(of(True).alias("old_sketch"), of(False).alias("new_sketch"))
+    none = F.coalesce("shared", F.lit(0)).alias("shared"), F.coalesce("equal", F.lit(0)).alias("equal"), F.coalesce("known", F.lit(False)).alias("known")
+    evidence = met.join(told, ["file_id", "i", "j"], "left").groupBy("file_id").agg(F.collect_list(F.struct("i", "j", common.alias("common"), spread.alias("spread"), *none)).alias("evidence"))
     full = pairs.join(evidence, "file_id", "left").select("file_id", "names", "types", "old_names", "old_types", "evidence")
     return full.mapInPandas(_compare_batches, "file_id bigint, change string, old_col string, new_col string")
 
