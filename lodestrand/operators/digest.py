@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ DELTA = 1000
 RANK_ERROR = 0.005
 #: Values buffered by a task before they are clustered.
 BUFFER_ROWS = 1_000_000
+#: Centroids that a task merges at once, in whole groups.
+MERGE_ROWS = 2_000_000
 #: Partial digests of a group merge in this many parts first, so that no task gets the digests of all partitions.
 MERGE_PARTS = 32
 
@@ -90,12 +93,33 @@ def _coded(batches: Sequence[pa.RecordBatch], keys: Sequence[str]) -> tuple[pd.D
     return whole, codes, whole.loc[first.index, list(keys)].set_axis(first.to_numpy()).sort_index()
 
 
-def _merge(keys: Sequence[str], out: pa.Schema, delta: float):
-    """Merge the groups of a partition at once; a partition holds centroids only."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], limit: int = MERGE_ROWS) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by keys in lists of at least limit rows that end where a group ends."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows >= limit:
+            whole = pa.Table.from_batches(held)
+            same = np.ones(rows, bool)
+            for k in keys:  # rows of the last group, which may go on
+                last = whole.column(k)[rows - 1]
+                equal = pc.equal(whole.column(k), last) if last.is_valid else pc.is_null(whole.column(k))
+                same &= pc.fill_null(equal, False).to_numpy(zero_copy_only=False)
+            end = int(np.argmax(same))
+            if end:
+                yield whole.slice(0, end).to_batches()
+                held, rows = whole.slice(end).combine_chunks().to_batches(), rows - end
+    if rows:
+        yield held
+
 
+def _merge(keys: Sequence[str], out: pa.Schema, delta: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
+        for held in _whole_groups(batches, keys):
             whole, codes, names = _coded(held, keys)
             g, m, w = cluster(codes, whole["mean"].to_numpy(float), whole["weight"].to_numpy(float), delta)
             done = names.loc[g].reset_index(drop=True).assign(mean=m, weight=w)
@@ -106,8 +130,7 @@ def _merge(keys: Sequence[str], out: pa.Schema, delta: float):
 
 def _estimate(keys: Sequence[str], probs: Sequence[float], out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
+        for held in _whole_groups(batches, keys):
             whole, codes, names = _coded(held, keys)
             mean, weight = whole["mean"].to_numpy(float), whole["weight"].to_numpy(float)
             order = np.lexsort((mean, codes))
@@ -130,6 +153,11 @@ def _arrow(schema_text: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema_text))
 
 
+def _placed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with the rows of a group in one partition, one after the other."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
 def digest(df: DataFrame, keys: Sequence[str], value: str, delta: float = DELTA) -> DataFrame:
     """(keys..., mean, weight): the centroids of each group.  Null and NaN values take no part; null keys form a group.
 
@@ -139,7 +167,7 @@ def digest(df: DataFrame, keys: Sequence[str], value: str, delta: float = DELTA)
     shape = f"{types}, part int, mean double, weight double"
     kept = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
     partial = kept.mapInArrow(_partial(keys, value, _arrow(shape), delta), shape)
-    parts = partial.repartition(*keys, "part").mapInArrow(_merge([*keys, "part"], _arrow(shape), delta), shape)
+    parts = _placed(partial, [*keys, "part"]).mapInArrow(_merge([*keys, "part"], _arrow(shape), delta), shape)
     return merge_digests(parts, keys, delta)
 
 
@@ -147,14 +175,14 @@ def merge_digests(digests: DataFrame, keys: Sequence[str], delta: float = DELTA)
     """Merge the centroids of finer groups into those of coarser ones, such as days into the whole."""
     types = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys)
     shape = f"{types}, mean double, weight double"
-    return digests.select(*keys, "mean", "weight").repartition(*keys).mapInArrow(_merge(keys, _arrow(shape), delta), shape)
+    return _placed(digests.select(*keys, "mean", "weight"), keys).mapInArrow(_merge(keys, _arrow(shape), delta), shape)
 
 
 def digest_percentiles(digests: DataFrame, keys: Sequence[str], probs: Sequence[float], name: str = "estimates") -> DataFrame:
     """(keys..., n_values, estimates array<double> in the order of probs)."""
     types = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys)
     shape = f"{types}, n_values bigint, `{name}` array<double>"
-    return digests.select(*keys, "mean", "weight").repartition(*keys).mapInArrow(_estimate(keys, probs, _arrow(shape)), shape)
+    return _placed(digests.select(*keys, "mean", "weight"), keys).mapInArrow(_estimate(keys, probs, _arrow(shape)), shape)
 
 
 def count_ranks(df: DataFrame, keys: Sequence[str], value: str, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -60,7 +60,8 @@ _MEDIAN, _P90 = P2_PROBS.index(0.5), P2_PROBS.index(0.9)
 def _p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = record_cells(table(spark, sf_dir, "records"), [("data_center", F.col("tags")["data_center"])]).where(F.col("series").endswith(".s4"))
     held = holding_values(cells, ["data_center"]).where("data_center is not null")
-    return held.select("data_center", floor_div(F.col("rec_key"), DAY_NS).cast("int").alias("day_no"), "val")
+    # the filter holds always; said here, both passes over the values filter alike and share the shuffle
+    return held.select("data_center", floor_div(F.col("rec_key"), DAY_NS).cast("int").alias("day_no"), "val").where("day_no is not null")
 
 
 def _p2_estimates(values: DataFrame) -> DataFrame:
