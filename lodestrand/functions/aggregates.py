@@ -31,11 +31,3 @@ def aggregate(func: str, name: str, kind: str, key: str = "key") -> Column:
         by = F.when(c.isNotNull(), F.col(key))
         return (F.min_by if func == "first_value" else F.max_by)(c, by)
     raise StatementError(f"unknown function {func}")
-
-
-def output_type(func: str, kind: str) -> str:
-    if func == "count":
-        return "LONG"
-    if func == "sum":
-        return "LONG" if kind in ("INTEGER", "LONG") else "DOUBLE"
-    return "DOUBLE" if func == "avg" else kind

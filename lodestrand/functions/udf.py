@@ -1,19 +1,20 @@
 """User functions in Python: row to row (UDTF), set to row (UDAF), set to set (UDSF) and transformers of jobs.
 
 A registered class has transform(rows), where rows are lists of values as in a table; classes are sent to the executors
-by value.  Row-to-row functions run over Arrow batches; samples of the common functions are native or vectorised.
+by value.  Row-to-row functions run over Arrow batches.  The sample functions are native columns.  A class that has an
+attribute returns (a Spark type such as "bigint") declares its output type; without one it is found on one row when a query is planned.
 """
 
 from __future__ import annotations
 
 import importlib.util
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.operators.common import col
@@ -28,28 +29,22 @@ class Registered:
     file: str = ""
     cls: str = ""
     returns: str | None = None
+    #: A column function that takes the place of the class.
+    native: Callable[[Column], Column] | None = None
 
 
-class Cos:
-    def transform(self, row):
-        return [None if x is None else math.cos(x) for x in row]
-
-
-def _column_wise(f):
-    class Sample:
-        def transform(self, rows):
-            return [f([x for x in c if x is not None]) for c in zip(*rows, strict=True)]
-
-    return Sample
+def _sample(kind: str, name: str, native: Callable[[Column], Column]) -> Registered:
+    return Registered(kind, name, lambda: None, cls=name, native=native)
 
 
+#: On no values udf_sum and udf_count are 0, the others null.
 SAMPLES = [
-    Registered("udtf", "cos", Cos, returns="double"),
-    Registered("udaf", "udf_min", _column_wise(lambda c: min(c, default=None))),
-    Registered("udaf", "udf_max", _column_wise(lambda c: max(c, default=None))),
-    Registered("udaf", "udf_sum", _column_wise(sum)),
-    Registered("udaf", "udf_avg", _column_wise(lambda c: sum(c) / len(c) if c else None), returns="double"),
-    Registered("udaf", "udf_count", _column_wise(len), returns="bigint"),
+    _sample("udtf", "cos", F.cos),
+    _sample("udaf", "udf_min", F.min),
+    _sample("udaf", "udf_max", F.max),
+    _sample("udaf", "udf_sum", lambda c: F.coalesce(F.sum(c), F.lit(0))),
+    _sample("udaf", "udf_avg", F.avg),
+    _sample("udaf", "udf_count", F.count),
 ]
 
 
@@ -66,7 +61,8 @@ class Registry:
         from pyspark import cloudpickle
 
         cloudpickle.register_pickle_by_value(__import__("sys").modules.setdefault(spec.name, module))
-        self.by_name[name] = Registered(kind, name, getattr(module, cls), file, cls)
+        made = getattr(module, cls)
+        self.by_name[name] = Registered(kind, name, made, file, cls, getattr(made, "returns", None))
 
     def drop(self, name: str) -> None:
         if self.by_name.pop(name, None) is None:
@@ -111,23 +107,30 @@ def plain(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[col(n).alias(f"c{i}") for i, n in enumerate(names)])
 
 
-def row_to_row(df: DataFrame, r: Registered, names: list[str], outputs: list[str]) -> DataFrame:
-    """UDTF: df's key and one output per name, each value transformed on its own; Arrow batches, no shuffle."""
-    kept = [c for c in df.columns if c == "key"]
-    shape = T.StructType([df.schema[c] for c in kept] + [T.StructField(o, _probe(r, df, [n], False)) for n, o in zip(names, outputs, strict=True)])
-    make = r.make
+def row_to_row(df: DataFrame, kept: list[str], entries: list[tuple[str, str, Registered | None]]) -> DataFrame:
+    """The kept columns and one output per (output, column, function), None for the column as it is.
+
+    Each value is transformed on its own, all outputs in one pass over Arrow batches; native functions need none.  No shuffle.
+    """
+    kept = list(kept)
+    values = [col(n) if f is None else f.native(col(n)) if f.native else col(n) for _, n, f in entries]
+    inner = df.select(*[col(k).alias(f"k{i}") for i, k in enumerate(kept)], *[c.alias(f"c{i}") for i, c in enumerate(values)])
+    names = [*kept, *[o for o, _, _ in entries]]
+    python = {f"c{i}": f for i, (_, _, f) in enumerate(entries) if f is not None and not f.native}
+    if not python:
+        return inner.toDF(*names)
+    kinds = {c: _probe(f, df, [n], False) for (c, f), n in zip(python.items(), [n for _, n, f in entries if f is not None and not f.native], strict=True)}
+    shape = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in inner.schema])
+    make = {c: f.make for c, f in python.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = make()
+        own = {c: m() for c, m in make.items()}
         for pdf in batches:
-            pdf.columns = [*kept, *names]
-            out = pdf[kept].copy()
-            for n, o in zip(names, outputs, strict=True):
-                values = pdf[n].astype(object).where(pdf[n].notna(), None)
-                out[o] = [f.transform([x])[0] for x in values]
-            yield out
-
-    return plain(df, [*kept, *names]).mapInPandas(run, shape)
+            for c, f in own.items():
+                pdf[c] = pd.Series([f.transform([x])[0] for x in pdf[c].astype(object).where(pdf[c].notna(), None)], index=pdf.index, dtype=object)
+            yield pdf
+
+    return inner.mapInPandas(run, shape).toDF(*names)
 
 
 def set_to_row(df: DataFrame, r: Registered, names: list[str], outputs: list[str], by: str | None = None) -> DataFrame:

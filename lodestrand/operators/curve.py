@@ -116,5 +116,6 @@ def curve_match(df: DataFrame, names: Sequence[str], query: Sequence[float], uni
         d, k = best_start(keys, values, keys[(pdf["_own"] == pdf["_block"]).to_numpy()], wanted, unit)
         return pd.DataFrame({"path": [pdf["path"].iloc[0]], "key": [k], "distance": [d]})
 
-    each = spread.groupBy("path", "_block").applyInPandas(run, "path string, key bigint, distance double").where("key >= 0 and distance < double('infinity')")
+    # no distance: no stretch of the block is full
+    each = spread.groupBy("path", "_block").applyInPandas(run, "path string, key bigint, distance double").where("distance < double('infinity')")
     return each.orderBy("distance", "path", "key").limit(1)

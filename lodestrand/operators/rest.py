@@ -1,7 +1,8 @@
 """Metric aggregators over (key, value) points of one metric, metric ingest and metric queries as dictionaries.
 
-Each aggregator runs on the raw metric on its own.  Neighbour operations (diff, rate, sampler) cut the metric into key
-stretches and carry the last point of the stretch before in, so that a long metric is not one task's work.
+Each aggregator runs on the raw metric on its own.  Neighbour operations (diff, rate, sampler) range-partition the metric by
+key and carry the last point of each partition into the next, and percentiles range-partition the counted values, so
+that neither a long metric nor a hot bucket is one task's work, however its keys and values are spread.
 """
 
 from __future__ import annotations
@@ -16,13 +17,11 @@ from lodestrand.functions.timeutil import PRECISION_NS
 from lodestrand.plans.catalog import full_name, split_name
 from lodestrand.plans.errors import StatementError
 
-from .common import col, floor_div
+from .common import col, ensure_checkpoint_dir
 from .series import BUCKET, tumbling
 
 # A month of relative times has 28 days, a year 336.
 REST_UNIT_MS = {"millis": 1, "seconds": 1_000, "minutes": 60_000, "hours": 3_600_000, "days": 86_400_000, "weeks": 604_800_000, "months": 2_419_200_000, "years": 29_030_400_000}
-#: Points of a metric that are put in order together, as a number of stretches over its key range.
-STRETCHES = 1024
 
 
 def first_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -30,36 +29,36 @@ def first_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select("key", F.coalesce(*[col(n) for n in sorted(names)]).alias("value")).where("value is not null")
 
 
-def stretch_width(points: DataFrame) -> int:
-    """The width of STRETCHES stretches over the key range, read from the data (column statistics where the source has them)."""
-    low, high = points.agg(F.min("key"), F.max("key")).first()
-    return 1 if low is None else (high - low) // STRETCHES + 1
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_previous(points: DataFrame, width: int) -> DataFrame:
-    """Add previous_key and previous of the point before; width: keys in a stretch."""
-    cut = points.withColumn("_stretch", floor_div(F.col("key"), width))
-    own = Window.partitionBy("_stretch").orderBy("key")
+def with_previous(points: DataFrame) -> DataFrame:
+    """(key, value, previous_key, previous): each point with the one before it; the first has nulls.  Points of one key follow each other in any order."""
+    ensure_checkpoint_dir(points.sparkSession)
+    # written with the number of the range, so that the points and the ends of ranges agree on it
+    cut = points.select("key", "value").repartitionByRange(_parts(points), "key").withColumn("_range", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy("_range").orderBy("key", "value")
     near = cut.withColumns({"previous_key": F.lag("key").over(own), "previous": F.lag("value").over(own)})
-    ends = cut.groupBy("_stretch").agg(F.max("key").alias("k"), F.max_by("value", "key").alias("v"))
-    scan = Window.orderBy("_stretch")  # over one row for each stretch
-    carried = ends.select("_stretch", F.lag("k").over(scan).alias("_k"), F.lag("v").over(scan).alias("_v"))
-    joined = near.join(carried, "_stretch")
-    return joined.select("key", "value", F.coalesce("previous_key", "_k").alias("previous_key"), F.coalesce("previous", "_v").alias("previous"))
+    ends = cut.groupBy("_range").agg(F.max(F.struct("key", "value")).alias("end"))
+    before = F.lag("end").over(Window.orderBy("_range"))  # over one row for each range
+    joined = near.join(F.broadcast(ends.select("_range", before.alias("_before"))), "_range")
+    first = F.col("previous_key").isNull()
+    return joined.select("key", "value", F.when(first, F.col("_before.key")).otherwise(F.col("previous_key")).alias("previous_key"), F.when(first, F.col("_before.value")).otherwise(F.col("previous")).alias("previous"))
 
 
-def diff(points: DataFrame, width: int) -> DataFrame:
-    return with_previous(points, width).where("previous_key is not null").select("key", (F.col("value") - F.col("previous")).alias("value"))
+def diff(points: DataFrame) -> DataFrame:
+    return with_previous(points).where("previous_key is not null").select("key", (F.col("value") - F.col("previous")).alias("value"))
 
 
-def rate(points: DataFrame, unit: int, width: int) -> DataFrame:
+def rate(points: DataFrame, unit: int) -> DataFrame:
     moved = (F.col("value") - F.col("previous")).cast("double") * F.lit(float(unit))
-    return with_previous(points, width).where("previous_key is not null").select("key", (moved / (F.col("key") - F.col("previous_key"))).alias("value"))
+    return with_previous(points).where("previous_key is not null").select("key", (moved / (F.col("key") - F.col("previous_key"))).alias("value"))
 
 
-def sampler(points: DataFrame, unit: int, width: int) -> DataFrame:
+def sampler(points: DataFrame, unit: int) -> DataFrame:
     scaled = F.col("value").cast("double") * F.lit(float(unit))
-    return with_previous(points, width).where("previous_key is not null").select("key", (scaled / (F.col("key") - F.col("previous_key"))).alias("value"))
+    return with_previous(points).where("previous_key is not null").select("key", (scaled / (F.col("key") - F.col("previous_key"))).alias("value"))
 
 
 def div(points: DataFrame, divisor: float) -> DataFrame:
@@ -86,13 +85,17 @@ def bucketed(points: DataFrame, func: str, start: int, end: int, width: int) ->
 def percentile(points: DataFrame, p: float, start: int, end: int, width: int) -> DataFrame:
     """Per bucket the value of rank floor(p * (n - 1)), without interpolation.
 
-    Values are counted first, so a bucket is reduced to its distinct values before their running counts are scanned.
+    Values are counted first and the counts cut into ranges; the sums of ranges tell in which one the rank lies, and only that is scanned.
     """
+    ensure_checkpoint_dir(points.sparkSession)
     counted = tumbling(points, start, end, width).groupBy(BUCKET, "value").agg(F.count(F.lit(1)).alias("n"))
+    cut = counted.repartitionByRange(_parts(points), BUCKET, "value").withColumn("_range", F.spark_partition_id()).checkpoint()
+    sums = cut.groupBy(BUCKET, "_range").agg(F.sum("n").alias("_n"))
     by = Window.partitionBy(BUCKET)
-    ranked = counted.withColumns({"upto": F.sum("n").over(by.orderBy("value")), "total": F.sum("n").over(by)})
-    rank = F.floor(F.lit(float(p)) * (F.col("total") - 1))
-    return ranked.where((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)).select(F.col(BUCKET).alias("key"), "value")
+    placed = sums.withColumns({"_upto": F.sum("_n").over(by.orderBy("_range")), "_total": F.sum("_n").over(by)}).withColumn("_rank", F.floor(F.lit(float(p)) * (F.col("_total") - 1)))
+    hit = placed.where((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank"))).select(BUCKET, "_range", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+    ranked = cut.join(hit, [BUCKET, "_range"]).withColumn("upto", F.sum("n").over(Window.partitionBy(BUCKET).orderBy("value")))
+    return ranked.where((F.col("upto") > F.col("_rank")) & (F.col("upto") - F.col("n") <= F.col("_rank"))).select(F.col(BUCKET).alias("key"), "value")
 
 
 def ingest_datapoints(session, posted: Mapping[str, Any] | Sequence[Mapping[str, Any]]) -> None:
@@ -111,7 +114,6 @@ def query_datapoints(session, query: Mapping[str, Any], now_ms: int) -> list[Dat
     start = query.get("start_absolute") if "start_absolute" in query else _ms(query["start_relative"], now_ms)
     end = query.get("end_absolute") if "end_absolute" in query else _ms(query["end_relative"], now_ms) if "end_relative" in query else now_ms
     low, high = int(start) * 1_000_000, int(end) * 1_000_000
-    width = max(1, (high - low) // STRETCHES)
     out = []
     for metric in query["metrics"]:
         tags = metric.get("tags")
@@ -127,11 +129,11 @@ def query_datapoints(session, query: Mapping[str, Any], now_ms: int) -> list[Dat
             if kind == "none":
                 out.append(points)
             elif kind == "diff":
-                out.append(diff(points, width))
+                out.append(diff(points))
             elif kind == "rate":
-                out.append(rate(points, unit, width))
+                out.append(rate(points, unit))
             elif kind == "sampler":
-                out.append(sampler(points, unit, width))
+                out.append(sampler(points, unit))
             elif kind == "div":
                 out.append(div(points, float(agg["divisor"])))
             elif kind == "filter":

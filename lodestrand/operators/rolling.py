@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col
@@ -34,11 +34,12 @@ def trailing_totals(daily: DataFrame, periods: Mapping[str, tuple[int, int]] = T
     """
     reach = max(first for first, _ in periods.values())
     placed = daily.repartition("entity")
-    span = placed.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
     age = F.col("date") - F.col("day")
-    onto = placed.join(span.select("entity", "last_day"), "entity").select(
-        "entity", "day", "total", "n", F.explode(F.sequence("day", F.least(F.col("day") + reach, F.col("last_day")))).alias("date")
-    )
+    last = placed.withColumn("last_day", F.max("day").over(Window.partitionBy("entity")))
+    onto = last.select("entity", "day", "total", "n", F.explode(F.sequence("day", F.least(F.col("day") + reach, F.col("last_day")))).alias("date"))
+    # the calendar's branch reads totals and numbers as well, so that it shares the shuffle of the other
+    filled = F.sum(F.when(F.col("total").isNotNull(), F.col("n")))
+    span = placed.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), filled.alias("filled")).where("filled > 0")
     sums = []
     for name, (first, last) in periods.items():
         inside = age.between(last, first)

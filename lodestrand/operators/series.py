@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrand.functions.aggregates import LEVEL_FUNCTIONS, aggregate
+from lodestrand.functions.aggregates import LEVEL_FUNCTIONS
 from lodestrand.plans.errors import StatementError
 
 from .common import col
@@ -44,11 +44,11 @@ def level_path(path: str, levels: Sequence[int]) -> str:
     return ".".join(node if i in levels else "*" for i, node in enumerate(path.split(".")))
 
 
-def level_aggregate(func: str, names: Sequence[str], kinds: Mapping[str, str]) -> Column:
-    """sum, count or avg over the values of several series: sums of sums, never means of means."""
+def level_total(func: str, names: Sequence[str], piece: Callable[[str, str], Column]) -> Column:
+    """sum, count or avg over the values of several series from their own aggregates, which piece(function, series) gives: sums of sums, never means of means."""
     if func not in LEVEL_FUNCTIONS:
         raise StatementError("only sum, count and avg can be grouped by level")
-    total = lambda f: sum((aggregate(f, n, kinds[n]) for n in names[1:]), aggregate(f, names[0], kinds[names[0]]))
+    total = lambda f: sum((piece(f, n) for n in names[1:]), piece(f, names[0]))
     if func != "avg":
         return total(func)
     n = total("count")

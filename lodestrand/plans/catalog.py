@@ -111,6 +111,14 @@ class Catalog:
         merged = whole.groupBy("key").agg(*[F.max_by(col(n), F.when(col(n).isNotNull(), F.col("_at"))).alias(n) for n in names])
         return merged.dropna(how="all", subset=[f"`{n}`" for n in names])
 
+    def parts(self, names: Sequence[str]) -> list[DataFrame]:
+        """The sources of a scan one by one, if none needs merging and no series is in two of them; else none."""
+        held = [(s, [n for n in names if n in s.names]) for s in self.sources]
+        held = [(s, own) for s, own in held if own]
+        if not all(s.clean for s, _ in held) or sum(len(own) for _, own in held) != len(set(names)):
+            return []
+        return [s.df.select("key", *[col(n) for n in own]) for s, own in held]
+
     def delete(self, names: Sequence[str], ranges: Sequence[tuple[int, int]] | None) -> None:
         """Null the values of the series at keys within the closed ranges; None drops the series."""
         if ranges is None:

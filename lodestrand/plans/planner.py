@@ -24,6 +24,8 @@ _NEGATIVE = {"key", "path"}
 class Relation:
     df: DataFrame
     ordered: list[tuple[str, bool]] = field(default_factory=list)
+    #: The sources of a scan, if none of its series is in two of them, so that each can be aggregated on its own.
+    parts: list[DataFrame] = field(default_factory=list)
 
     @property
     def keyed(self) -> bool:
@@ -111,10 +113,10 @@ class Planner:
     def __init__(self, catalog: Catalog, functions: U.Registry):
         self.catalog, self.functions = catalog, functions
 
-    def query(self, q: Select) -> DataFrame:
-        """The result in its stated order, else by key."""
+    def query(self, q: Select, by_key: bool = True) -> DataFrame:
+        """The result in its stated order, else by key, or in none if by_key is False: a sort of a large result is a shuffle of its own."""
         rel = self.plan(q)
-        order = rel.ordered or ([("key", False)] if rel.keyed else [])
+        order = rel.ordered or ([("key", False)] if rel.keyed and by_key else [])
         return rel.df.orderBy(*[col(n).desc() if d else col(n).asc() for n, d in order]) if order else rel.df
 
     # --- sources
@@ -124,7 +126,7 @@ class Planner:
         if not q.joins:
             place = lambda p: f"{q.prefix}.{p}"
             names = self.catalog.series([place(w) for w in wanted], q.tags)
-            return Relation(self.catalog.scan(names)), place
+            return Relation(self.catalog.scan(names), parts=self.catalog.parts(names)), place
         side = lambda p: Relation(S.keyless(self.catalog.scan(self.catalog.series([p + ".*"], q.tags)), p))
         rel, before = side(q.prefix), q.prefix
         for j in q.joins:
@@ -222,17 +224,13 @@ class Planner:
         if kind == "each":
             if any(i.kind == "math" for i in q.items):
                 raise StatementError("row-to-row functions cannot stand in arithmetic")
-            whole = rel.df
-            for n, item in enumerate(q.items):
-                names = rel.find(place(item.path), q.tags)
-                outputs = [self.renamed(f"{item.func}({x})" if item.kind == "call" else x, item.alias) for x in names]
-                if item.kind == "call":
-                    inner = U.row_to_row(whole.select(*key, *[col(x) for x in names]), self.functions.get(item.func), names, outputs)
-                    if n == 0 and len(q.items) == 1:
-                        return Relation(inner)
-                    df = df.join(inner, "key") if key else inner
-                picked += [col(o) if item.kind == "call" else col(x).alias(o) for x, o in zip(names, outputs, strict=True)]
-            return Relation(df.select(*key, *picked), rel.ordered)
+            entries = {}
+            for item in q.items:
+                for x in rel.find(place(item.path), q.tags):
+                    f = self.functions.get(item.func) if item.kind == "call" else None
+                    out = self.renamed(f"{item.func}({x})" if f else x, item.alias)
+                    entries.setdefault(out, (out, x, f))
+            return Relation(U.row_to_row(rel.df, key, list(entries.values())), [o for o in rel.ordered if o[0] == "key"])
         seen: dict[str, str] = {}
         for item in q.items:
             if item.kind == "math":
@@ -259,33 +257,55 @@ class Planner:
     def aggregated(self, q: Select, rel: Relation, place) -> Relation:
         """All aggregates of a query in one grouping, with or without windows; arithmetic on top of them."""
         kinds = rel.kinds()
-        aggs: dict[str, Column] = {}
+        # aggregates of single series, and what is made of them
+        pieces: dict[tuple[str, str], tuple[str, Column]] = {}
+        made: dict[str, Column] = {}
         of_call: dict[tuple[str, str], list[str]] = {}
         python: list[tuple[U.Registered, list[str], list[str]]] = []
+
+        def piece(func: str, n: str, native=None) -> Column:
+            name = pieces.setdefault((func, n), (f"_p{len(pieces)}", native(col(n)) if native else aggregate(func, n, kinds[n])))[0]
+            return F.col(name)
+
         for func, path in self.calls(q):
             names, low = rel.find(place(path), q.tags), func.lower()
             if low not in SET_TO_ROW:
+                own = self.functions.get(func)
                 outputs = [f"{func}({n})" for n in names]
-                python.append((self.functions.get(func), names, outputs))
+                if own.native:
+                    made |= {o: piece(func, n, own.native) for n, o in zip(names, outputs, strict=True)}
+                else:
+                    python.append((own, names, outputs))
             elif q.levels:
                 groups: dict[str, list[str]] = {}
                 for n in names:
                     groups.setdefault(S.level_path(split_name(n)[0], q.levels), []).append(n)
                 outputs = [f"{low}({g})" for g in groups]
-                aggs |= {f"{low}({g})": S.level_aggregate(low, members, kinds) for g, members in groups.items()}
+                made |= {f"{low}({g})": S.level_total(low, members, piece) for g, members in groups.items()}
             else:
                 outputs = [f"{low}({n})" for n in names]
                 if low in ("first_value", "last_value") and not rel.keyed:
                     raise StatementError(f"{low} needs a keyed relation")
-                aggs |= {f"{low}({n})": aggregate(low, n, kinds[n]) for n in names}
+                made |= {f"{low}({n})": piece(low, n) for n in names}
             of_call[func, path] = outputs
         base = rel.df
+        out = None
         if q.window:
             w = q.window
             base = S.hopping(base, w.start, w.end, w.width, w.slide) if w.slide else S.tumbling(base, w.start, w.end, w.width)
-            out = S.downsample(base, aggs) if aggs or not python else None
-        else:
-            out = base.agg(*[c.alias(n) for n, c in aggs.items()]) if aggs else None
+            if made or not python:
+                out = S.downsample(base, dict(pieces.values()))
+        elif made and len(rel.parts) > 1:
+            # sources without a common series need not be brought together by key: one row of each
+            for part in rel.parts:
+                own = [c.alias(p) for (_, n), (p, c) in pieces.items() if n in part.columns]
+                if own:
+                    row = part.agg(*own)
+                    out = row if out is None else out.crossJoin(row)
+        elif made:
+            out = base.agg(*[c.alias(p) for p, c in pieces.values()])
+        if out is not None:
+            out = out.select(*(["key"] if q.window else []), *[c.alias(n) for n, c in made.items()])
         for r, names, outputs in python:
             part = U.set_to_row(base, r, names, outputs, S.BUCKET if q.window else None)
             part = part.withColumnRenamed(S.BUCKET, "key") if q.window else part

@@ -25,7 +25,7 @@ _KEYS = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "
 
 def open_session(spark: SparkSession, sf_dir: str, statement: str = "FROM events") -> Session:
     """The driver's tables that a statement names as series: events keyed by event_id (events) and by time (ev), the others by their keys."""
-    s = Session(spark)
+    s = Session(spark, by_key=False)
     named = lambda prefix: "FROM *" in statement or re.search(rf"\b{prefix}\b", statement)
     t = lambda name: table(spark, sf_dir, name)
     if named("events"):
@@ -151,7 +151,7 @@ add("join_type_cast", "SELECT orders.o_custkey, events.value FROM orders JOIN ev
 
 def _two_sides(spark: SparkSession, sf_dir: str) -> Session:
     """Prefixes a and b with shared column names, for USING and NATURAL joins."""
-    s, ev = Session(spark), table(spark, sf_dir, "events")
+    s, ev = Session(spark, by_key=False), table(spark, sf_dir, "events")
     s.register(ev.where("event_id < 3000").groupBy("user_id").agg(F.max("event_id").alias("key"), F.round(F.sum("value"), 2).alias("v")), "a")
     s.register(ev.where("event_id >= 2900").groupBy("user_id").agg(F.max("event_id").alias("key"), F.count(F.lit(1)).alias("n")), "b")
     return s
@@ -162,7 +162,7 @@ _SIDES = "with a as (select user_id, max(event_id) k, round(sum(value), 2) v fro
 
 def _whole_sides(spark: SparkSession, sf_dir: str) -> Session:
     """The same prefixes over the whole table: users by their clicks and by their views, each with at least one above a value."""
-    s, ev = Session(spark), table(spark, sf_dir, "events")
+    s, ev = Session(spark, by_key=False), table(spark, sf_dir, "events")
     clicks, views = (ev.where(F.col("event_type") == kind).groupBy("user_id") for kind in ("click", "view"))
     s.register(clicks.agg(F.max("event_id").alias("key"), F.round(F.sum("value"), 2).alias("v"), F.max("value").alias("_top")).where("_top > 150").drop("_top"), "a")
     s.register(views.agg(F.max("event_id").alias("key"), F.count(F.lit(1)).alias("n"), F.max("value").alias("_top")).where("_top > 150").drop("_top"), "b")
@@ -206,7 +206,7 @@ def query(sql: str | None = None):
 @query("""
     select event_id as key, case when event_id < 2000 then value end lo, case when event_id >= 1000 then value end hi from events""")
 def union_streams(spark, sf_dir):
-    s, ev = Session(spark), table(spark, sf_dir, "events")
+    s, ev = Session(spark, by_key=False), table(spark, sf_dir, "events")
     s.register(ev.where("event_id < 2000").select("event_id", F.col("value").alias("lo")), "u", "event_id")
     s.register(ev.where("event_id >= 1000").select("event_id", F.col("value").alias("hi")), "u", "event_id")
     return s.execute("SELECT lo, hi FROM u").toDF("key", "lo", "hi")
@@ -216,7 +216,7 @@ def union_streams(spark, sf_dir):
     select event_id as key, case when event_id % 3 = 0 then value * 2 else value end as value from events""")
 def merge_duplicate_keys(spark, sf_dir):
     """Later writes of a key hold, their nulls aside."""
-    s, ev = Session(spark), table(spark, sf_dir, "events")
+    s, ev = Session(spark, by_key=False), table(spark, sf_dir, "events")
     s.register(ev.select("event_id", "value"), "m", "event_id")
     s.register(ev.select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("value") * 2).alias("value")), "m", "event_id")
     return s.execute("SELECT value FROM m").toDF("key", "value")
@@ -224,7 +224,7 @@ def merge_duplicate_keys(spark, sf_dir):
 
 @query("select event_id as key, value from events where event_id % 2 = 0")
 def drop_empty_rows(spark, sf_dir):
-    s, ev = Session(spark), table(spark, sf_dir, "events")
+    s, ev = Session(spark, by_key=False), table(spark, sf_dir, "events")
     s.register(ev.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("value")), "m", "event_id")
     return s.execute("SELECT value FROM m").toDF("key", "value")
 
@@ -260,7 +260,7 @@ def count_points(spark, sf_dir):
 @query("""
     select event_id as key, case when event_type = 'click' then value end click, case when event_type = 'view' then value end as view from events where event_type in ('click', 'view')""")
 def tags_with(spark, sf_dir):
-    s, ev = Session(spark), table(spark, sf_dir, "events")
+    s, ev = Session(spark, by_key=False), table(spark, sf_dir, "events")
     for kind in ("click", "view", "error"):
         s.register(ev.where(F.col("event_type") == kind).select("event_id", F.col("value").alias(f"v{{kind={kind},site=x}}")), "t", "event_id")
     s.register(ev.select("event_id", F.col("value").alias("v")), "t", "event_id")
@@ -383,20 +383,17 @@ def rest_save_as(spark, sf_dir):
 
 @query("select event_id as key, round(value - p, 4) as value from (select *, lag(value) over (order by event_id) p from events) where p is not null")
 def rest_diff(spark, sf_dir):
-    points = _metric(spark, sf_dir)
-    return R.diff(points, R.stretch_width(points)).withColumn("value", F.round("value", 4))
+    return R.diff(_metric(spark, sf_dir)).withColumn("value", F.round("value", 4))
 
 
 @query("select event_id as key, round((value - p) * 1000 / (event_id - k), 4) as value from (select *, lag(value) over (order by event_id) p, lag(event_id) over (order by event_id) k from events) where p is not null")
 def rest_rate(spark, sf_dir):
-    points = _metric(spark, sf_dir)
-    return R.rate(points, 1000, R.stretch_width(points)).withColumn("value", F.round("value", 4))
+    return R.rate(_metric(spark, sf_dir), 1000).withColumn("value", F.round("value", 4))
 
 
 @query("select event_id as key, round(value * 1000 / (event_id - k), 4) as value from (select *, lag(event_id) over (order by event_id) k from events) where k is not null")
 def rest_sampler(spark, sf_dir):
-    points = _metric(spark, sf_dir)
-    return R.sampler(points, 1000, R.stretch_width(points)).withColumn("value", F.round("value", 4))
+    return R.sampler(_metric(spark, sf_dir), 1000).withColumn("value", F.round("value", 4))
 
 
 @query("select event_id as key, value / 4 as value from events")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from .functions import udf as U
 from .functions.timeutil import to_ns
-from .operators.common import col
+from .operators.common import col, numbered
 from .plans.catalog import TYPES, Catalog, full_name
 from .plans.errors import StatementError
 from .plans.parser import Item, Select, Statement, Window, parse
@@ -29,10 +29,10 @@ def _literal_type(values: Sequence[Any]) -> str:
 
 
 class Session:
-    """A catalog of series and the statements on it.  Results are lazy DataFrames, keyed ones ordered by key."""
+    """A catalog of series and the statements on it.  Results are lazy DataFrames, keyed ones in order of key unless by_key is False."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, by_key: bool = True):
+        self.spark, self.by_key = spark, by_key
         self.catalog = Catalog(spark)
         self.functions = U.Registry()
         self.planner = Planner(self.catalog, self.functions)
@@ -45,7 +45,7 @@ class Session:
     # --- text
     def execute(self, text: str) -> DataFrame | None:
         s = parse(text)
-        return self.planner.query(s) if isinstance(s, Select) else self._run(s)
+        return self.planner.query(s, self.by_key) if isinstance(s, Select) else self._run(s)
 
     sql = execute_sql = execute
 
@@ -114,10 +114,7 @@ class Session:
         if len(values) != len(columns):
             raise StatementError("the query of an insert has another number of columns")
         if "key" not in df.columns:
-            # rows without a key are numbered in their order
-            from pyspark.sql import Window as W
-
-            df = df.withColumn("key", F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long") - 1)
+            df = numbered(df, "key")  # rows without a key are numbered in their order
         from .plans.catalog import split_name
 
         names = [full_name(p, {**t, **split_name(v)[1]}) for (p, t), v in zip(columns, values, strict=True)]
@@ -136,7 +133,7 @@ class Session:
         planner = Planner(self.catalog, self.functions)
         base = self.catalog.scan(names)
         planner.source = lambda _q, _w: (__import__("lodestrand.plans.planner", fromlist=["Relation"]).Relation(base), lambda p: p)
-        return planner.query(q)
+        return planner.query(q, self.by_key)
 
     def aggregate_query(self, paths: Sequence[str], start: int, end: int, func: str, tags=None, precision: str = "ns") -> DataFrame:
         return self._structured([Item("call", path=p, func=func) for p in paths], start, end, tags, precision)

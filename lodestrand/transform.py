@@ -14,11 +14,11 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.timeutil import now_ns
 from .functions.udf import _rows, _value_type, plain
+from .operators.common import numbered
 from .plans.errors import StatementError
 
 # The states of a job.
@@ -95,11 +95,7 @@ class Jobs:
                 if sink == "file":
                     df.write.mode("append").option("header", True).csv(path)
                 elif sink == "engine":
-                    from pyspark.sql import Window as W
-
-                    at = F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long") + F.lit(now_ns())
-                    names = [c for c in df.columns if c != "key"]
-                    self.session.register(df.select(at.alias("key"), *[F.col(f"`{c}`") for c in names]), "transform")
+                    self.session.register(numbered(df.drop("key"), "key", now_ns()), "transform")
                 else:
                     df.show()
                 job["state"] = "closed" if job["state"] == "closing" else "finished"

@@ -92,3 +92,9 @@ def test_match_across_gaps_longer_than_a_block(spark, gaps):
         got = C.curve_match(df, ["a"], query, 1, 0, 10**9).collect()[0]
         d, key = brute(keys, values, query, 1)
         assert got["key"] == key == part[-1] - 6 and math.isclose(got["distance"], d, abs_tol=1e-9)
+
+
+def test_matches_at_negative_keys(spark):
+    values = [0.0] * 40 + [1, 5, 9, 5, 1] + [0.0] * 40
+    df = spark.createDataFrame([((i - 60) * 10, float(v)) for i, v in enumerate(values)], "key bigint, a double")
+    assert curve_match(df, ["a"], [1, 5, 9, 5, 1], 10, -(10**6), 10**6).collect()[0]["key"] == -200
