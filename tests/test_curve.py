@@ -97,4 +97,4 @@ def test_match_across_gaps_longer_than_a_block(spark, gaps):
 def test_matches_at_negative_keys(spark):
     values = [0.0] * 40 + [1, 5, 9, 5, 1] + [0.0] * 40
     df = spark.createDataFrame([((i - 60) * 10, float(v)) for i, v in enumerate(values)], "key bigint, a double")
-    assert curve_match(df, ["a"], [1, 5, 9, 5, 1], 10, -(10**6), 10**6).collect()[0]["key"] == -200
+    assert C.curve_match(df, ["a"], [1, 5, 9, 5, 1], 10, -(10**6), 10**6).collect()[0]["key"] == -200
