@@ -3,7 +3,8 @@
 Texts are cut into words with positions, chunk by chunk.  What a chunk keeps is its skeleton: the sequence of word
 numbers, that is, every position.  Only the chunk's distinct words travel to the place of the word, where each is
 encoded once, and their ids travel back to the chunk, where the texts are put together by position.  A frequent word
-thus travels once a chunk, not once an occurrence, and neither shuffle carries a text.
+thus travels once a chunk, not once an occurrence, so that even a word of all chunks is a single row of each, and neither
+shuffle carries a text.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from .units import TOKENIZERS, ByteUnits, cut, tokenizer
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 8 << 20
-#: A word of a third of all chunks is spread over this many places, and encoded at most so many times.
-SALTS = 8
+#: Words of which a task remembers the ids.
+REMEMBERED = 1_000_000
 _MOVED = pa.schema([("place", pa.int64()), ("chunk", pa.int64()), ("word_no", pa.int32()), ("word", pa.large_string()), ("docs", pa.list_(pa.int64())), ("body", pa.large_binary())])
 _MOVED_DDL = "place bigint, chunk bigint, word_no int, word string, docs array<bigint>, body binary"
 
@@ -51,9 +52,8 @@ def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             used, codes = np.unique(codes, return_inverse=True)
             words = [forms[i] for i in used]
             body = np.int64([len(counts)]).tobytes() + counts.astype("<i4").tobytes() + codes.astype("<u2" if len(words) < 65536 else "<u4").tobytes()
-            salt = chunk % SALTS
             n = len(words)
-            place = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 4 for w in words), np.int64, n) + salt
+            place = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), np.int64, n)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[place, chunk]),
@@ -68,7 +68,7 @@ def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chunk += 1
 
 
-def _encode_words(name: str, folder: str):
+def _encode_words(name: str, folder: str, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = None, {}
         for b in batches:
@@ -78,33 +78,40 @@ def _encode_words(name: str, folder: str):
                     ids = known.get(w)
                     if ids is None:
                         own = own or tokenizer(name, folder)
-                        ids = known[w] = np.asarray(own.ids(w), "<u2").tobytes()
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        ids = known[w] = np.asarray(own.ids(w), width).tobytes()
                     bodies[i] = ids
             yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("word_no"), b.column("docs"), pa.array(bodies, pa.large_binary())], ["chunk", "word_no", "docs", "body"])
 
     return run
 
 
-def _put_together(group: pa.Table) -> pa.Table:
-    import zstandard
+def _put_together(width: str):
+    size = np.dtype(width).itemsize
+
+    def run(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        numbers = group.column("word_no").to_numpy()
+        order = np.argsort(numbers, kind="stable")
+        bodies = group.column("body").to_pylist()
+        skeleton, words = zstandard.ZstdDecompressor().decompress(bodies[order[0]]), [bodies[i] for i in order[1:]]
+        docs = group.column("docs").take(pa.array(order[:1])).to_pylist()[0]
+        n = int(np.frombuffer(skeleton, np.int64, 1)[0])
+        counts = np.frombuffer(skeleton, "<i4", n, 8).astype(np.int64)
+        codes = np.frombuffer(skeleton, "<u2" if len(words) < 65536 else "<u4", offset=8 + 4 * n).astype(np.int64)
+        lengths = np.fromiter((len(w) // size for w in words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), width).astype(np.int32)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
+        edges = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))})
 
-    numbers = group.column("word_no").to_numpy()
-    order = np.argsort(numbers, kind="stable")
-    bodies = group.column("body").to_pylist()
-    skeleton, words = zstandard.ZstdDecompressor().decompress(bodies[order[0]]), [bodies[i] for i in order[1:]]
-    docs = group.column("docs").take(pa.array(order[:1])).to_pylist()[0]
-    n = int(np.frombuffer(skeleton, np.int64, 1)[0])
-    counts = np.frombuffer(skeleton, "<i4", n, 8).astype(np.int64)
-    codes = np.frombuffer(skeleton, "<u2" if len(words) < 65536 else "<u4", offset=8 + 4 * n).astype(np.int64)
-    lengths = np.fromiter((len(w) // 2 for w in words), np.int64, len(words))
-    flat = np.frombuffer(b"".join(words), "<u2").astype(np.int32)
-    starts = np.cumsum(lengths) - lengths
-    each = lengths[codes]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
-    edges = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))})
+    return run
 
 
 def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -114,8 +121,9 @@ def encode_corpus(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = TOK
     Strings of special tokens are ordinary text.  folder holds the tokenizer files on every machine.
     """
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_take_apart, _MOVED_DDL)
-    encoded = parts.repartition("place").mapInArrow(_encode_words(name, folder), "chunk bigint, word_no int, docs array<bigint>, body binary")
-    return encoded.groupBy("chunk").applyInArrow(_put_together, "doc_id bigint, ids array<int>")
+    width = "<u2" if tokenizer(name, folder).size <= 65536 else "<i4"  # of an id while it travels
+    encoded = parts.repartition("place").mapInArrow(_encode_words(name, folder, width), "chunk bigint, word_no int, docs array<bigint>, body binary")
+    return encoded.groupBy("chunk").applyInArrow(_put_together(width), "doc_id bigint, ids array<int>")
 
 
 def token_bytes(spark, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Sizes are whole tokens, so an instance of any number of items is a histogram of at most capacity sizes.  On it the
 dominance rules of the bin-packing reduction fix containers that no packing can better: two items that fill a container
-exactly, an item that fits with nothing, and, for the largest item, the best partner where no two items fit beside it.
+exactly, an item that fits with nothing, and an item with its largest partner where no two others beside it come to more.
 The rest goes by best fit in decreasing order, a whole size class at a time.  The plan, a list of container patterns with
 their numbers, is then applied to the items by their rank within their size.
 """
@@ -22,8 +22,8 @@ from lodestrand.operators.common import broadcast_if_small, ensure_checkpoint_di
 from .encode import pieces_of
 from .units import TOKENIZERS, cut, tokenizer
 
-#: Places over which the items of one size are ranked.
-SALTS = 64
+#: Items of one size that a task ranks; a larger class is cut into so many more places.
+RANKED = 100_000
 #: Units of which a task remembers the count, per tokenizer.
 REMEMBERED = 1_000_000
 
@@ -61,6 +61,48 @@ def count_tokens(docs: DataFrame, names: Sequence[str], folder: str = TOKENIZERS
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count(names, folder), shape)
 
 
+def _dominating(left: dict[int, int], s: int, capacity: int) -> int | None:
+    """The item that beside one of size s dominates every other filling of its container: a size, 0 for none at all, None if no single item does."""
+    room = capacity - s
+    others = sorted(t for t, n in left.items() if t <= room and n > (t == s))
+    if not others:
+        return 0
+    best = others[-1]
+    if best == room:
+        return best
+    smallest = []
+    for t in others:
+        smallest += [t] * min(3, left[t] - (t == s))
+        if len(smallest) >= 3:
+            break
+    if len(smallest) < 2 or smallest[0] + smallest[1] > room:
+        return best
+    if len(smallest) > 2 and sum(smallest[:3]) <= room:
+        return None
+    # two others fit at most: the largest sum of two by moving in from both ends
+    i, j, most = 0, len(others) - 1, 0
+    while i <= j:
+        pair = others[i] + others[j]
+        if pair > room or (i == j and left[others[i]] - (others[i] == s) < 2):
+            j -= 1
+        else:
+            most, i = max(most, pair), i + 1
+    return best if most <= best else None
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """A number of containers that no packing can do with less of: large items take one each, what room they leave takes the others at best."""
+    sizes = sorted((s, n) for s, n in histogram.items() if n > 0)
+    best = -(-sum(s * n for s, n in sizes) // capacity)
+    for k in {0, *(s for s, _ in sizes if 2 * s <= capacity)}:
+        alone = sum(n for s, n in sizes if s > capacity - k)
+        half = [(s, n) for s, n in sizes if capacity >= 2 * k and capacity - k >= s > capacity / 2]
+        rest = sum(s * n for s, n in sizes if k <= s <= capacity / 2)
+        room = sum((capacity - s) * n for s, n in half)
+        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int]:
     """(patterns, containers fixed by dominance); a pattern is (number of containers, {size: items in each})."""
     left = {s: n for s, n in histogram.items() if n > 0}
@@ -81,23 +123,19 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
             fix(min(left[s], left[t]), {s: 1, t: 1})
         elif t == s and left.get(s, 0) > 1:
             fix(left[s] // 2, {s: 2})
-    while left:
-        sizes = sorted(left)
-        largest, room = sizes[-1], capacity - sizes[-1]
-        if largest == sizes[0] and left[largest] == 1 or sizes[0] > room:
-            fix(left[largest], {largest: 1})
-            continue
-        # the two smallest items that could go beside the largest
-        small = sizes[0]
-        own = left[small] - (small == largest)
-        second = small if own > 1 else next((s for s in sizes[1:] if s != largest or left[largest] > 1), None)
-        if second is not None and small + second <= room:
-            break
-        partner = max(s for s in sizes if s <= room and (s != largest or left[s] > 1))
-        if partner == largest:
-            fix(left[largest] // 2, {largest: 2})
-        else:
-            fix(min(left[largest], left[partner]), {largest: 1, partner: 1})
+    # an item is fixed with the largest partner if no two others beside it come to more; as long as any item is
+    again = True
+    while again:
+        again = False
+        for s in sorted(left, reverse=True):
+            while s in left and (partner := _dominating(left, s, capacity)) is not None:
+                if partner == 0:
+                    fix(left[s], {s: 1})
+                elif partner == s:
+                    fix(left[s] // 2, {s: 2})
+                else:
+                    fix(min(left[s], left[partner]), {s: 1, partner: 1})
+                again = True
     by_dominance = sum(n for n, _ in fixed)
     # best fit, decreasing: groups of equal containers by their free room
     groups: dict[int, list[tuple[int, dict[int, int]]]] = {}
@@ -130,7 +168,7 @@ def _pieces(sizes: DataFrame) -> DataFrame:
     last = F.call_function("div", F.col("n_tokens") - 1, F.col("capacity"))
     each = sizes.where("n_tokens > 0 and capacity > 0").withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     first = F.col("piece_no") * F.col("capacity")
-    return each.select("spec_id", "capacity", "doc_id", "piece_no", first.alias("first_token"), F.least(F.col("capacity"), F.col("n_tokens") - first).alias("size"))
+    return each.select("spec_id", "capacity", "doc_id", "row_no", "piece_no", first.alias("first_token"), F.least(F.col("capacity"), F.col("n_tokens") - first).alias("size"))
 
 
 def pack(docs: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -139,37 +177,48 @@ def pack(docs: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> DataFra
     specs(spec_id, tokenizer, capacity) is read to the driver; more than 1000 specs are refused.  Texts without tokens
     (null, empty) take no part.  Equal texts and rows with equal doc_id are items of their own.  container_id counts from 1 in each spec.
     """
+    return pack_with_report(docs, specs, folder)[0]
+
+
+def pack_with_report(docs: DataFrame, specs: DataFrame, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+    """pack() and, per spec, the numbers of containers planned and fixed by dominance, and the bound below which none can be: (spec_id, planned, by_dominance, at_least)."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     wanted = specs.where("spec_id is not null and tokenizer is not null and capacity > 0").select("spec_id", "tokenizer", "capacity").limit(1001).collect()
     if len(wanted) > 1000:
         raise ValueError("more than 1000 packing specs")
-    shape = "spec_id int, container_id bigint, doc_id bigint, piece_no bigint, first_token bigint, n_tokens bigint"
+    report = "spec_id int, planned bigint, by_dominance bigint, at_least bigint"
     if not wanted:
-        return spark.createDataFrame([], shape)
+        return spark.createDataFrame([], "spec_id int, container_id bigint, doc_id bigint, piece_no bigint, first_token bigint, n_tokens bigint"), spark.createDataFrame([], report)
     counted = count_tokens(docs, sorted({w["tokenizer"] for w in wanted}), folder)
     each = [F.struct(F.lit(w["spec_id"]).cast("int").alias("spec_id"), F.lit(w["capacity"]).cast("long").alias("capacity"), F.col(w["tokenizer"]).alias("n_tokens")) for w in wanted]
-    # counted once, then planned and placed from the written table
-    items = _pieces(counted.select("doc_id", F.inline(F.array(*each))).checkpoint())
+    # counted once, then planned and placed from the written table; rows may share a doc_id, so each has a number of its own
+    items = _pieces(counted.select("doc_id", F.monotonically_increasing_id().alias("row_no"), F.inline(F.array(*each))).checkpoint())
     # at most one row for each size up to the capacity
     histogram = items.groupBy("spec_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n")).collect()
     by_spec: dict[tuple[int, int], dict[int, int]] = {}
     for h in histogram:
         by_spec.setdefault((h["spec_id"], h["capacity"]), {})[h["size"]] = h["n"]
-    rows = []
+    rows, classes, reports = [], [], []
     for (spec, capacity), sizes in by_spec.items():
         used, container = dict.fromkeys(sizes, 0), 1
-        for n, pattern in plan_containers(sizes, capacity)[0]:
+        patterns, fixed = plan_containers(sizes, capacity)
+        for n, pattern in patterns:
             for size, k in pattern.items():
                 rows.append((spec, size, used[size], used[size] + n * k, container, k))
                 used[size] += n * k
             container += n
+        classes += [(spec, size, -(-n // RANKED)) for size, n in sizes.items()]
+        reports.append((spec, container - 1, fixed, lower_bound(sizes, capacity)))
     plan = spark.createDataFrame(pd.DataFrame(rows, columns=["spec_id", "size", "low", "high", "container", "k"]), "spec_id int, size bigint, low bigint, high bigint, container bigint, k bigint")
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int"))
+    # at most one row for each size and spec
+    places = F.broadcast(spark.createDataFrame(pd.DataFrame(classes, columns=["spec_id", "size", "places"]), "spec_id int, size bigint, places int"))
+    salted = items.join(places, ["spec_id", "size"]).withColumn("salt", F.pmod(F.xxhash64("row_no", "piece_no"), F.col("places")).cast("int"))
     shares = salted.groupBy("spec_id", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = shares.select("spec_id", "size", "salt", (F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("salt")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("spec_id", "size", "salt").orderBy("doc_id", "piece_no"))
     ranked = salted.withColumn("own", own).join(before, ["spec_id", "size", "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     placed = ranked.join(broadcast_if_small(plan, 100_000), ["spec_id", "size"]).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     container = F.col("container") + F.call_function("div", F.col("rank") - F.col("low"), F.col("k"))
-    return placed.select("spec_id", container.alias("container_id"), "doc_id", "piece_no", "first_token", F.col("size").alias("n_tokens"))
+    out = placed.select("spec_id", container.alias("container_id"), "doc_id", "piece_no", "first_token", F.col("size").alias("n_tokens"))
+    return out, spark.createDataFrame(pd.DataFrame(reports, columns=["spec_id", "planned", "by_dominance", "at_least"]), report)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.operators.common import table
 
 from .encode import encode_corpus
-from .packing import pack
+from .packing import pack, pack_with_report
 from .quality import document_kinds, quality_statistics
 
 
@@ -21,10 +21,11 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per spec the number of containers and the share of their capacity that is used."""
-    held = p8_packed(spark, sf_dir).groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used"))
+    """Per spec the number of containers, those fixed by dominance, the least number possible, and the share of their capacity that is used."""
+    packed, report = pack_with_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "packing_specs"))
+    held = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used"))
     whole = held.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
-    return whole.join(table(spark, sf_dir, "packing_specs").select("spec_id", "capacity"), "spec_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    return whole.join(report.drop("planned"), "spec_id").join(table(spark, sf_dir, "packing_specs").select("spec_id", "capacity"), "spec_id").withColumn("fill", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,7 @@ class ByteUnits:
 
         with open(os.path.join(folder, name + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.size = max(ranks.values()) + 1
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, form: str) -> list[int]:
@@ -98,6 +99,7 @@ class PieceUnits:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=os.path.join(folder, name + ".model"))
+        self.size = self.model.get_piece_size()
         self.blank = self.model.piece_to_id("▁")
 
     def ids(self, form: str) -> list[int]:
