@@ -13,13 +13,15 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrand.operators.common import col
 from lodestrand.plans.errors import StatementError
 
+from .transformers import NATIVE
+
 
 @dataclass
 class Registered:
@@ -29,11 +31,11 @@ class Registered:
     file: str = ""
     cls: str = ""
     returns: str | None = None
-    #: A column function that takes the place of the class.
-    native: Callable[[Column], Column] | None = None
+    #: A function of a column (of a DataFrame for a transformer) that takes the place of the class.
+    native: Callable[[Any], Any] | None = None
 
 
-def _sample(kind: str, name: str, native: Callable[[Column], Column]) -> Registered:
+def _sample(kind: str, name: str, native: Callable[[Any], Any]) -> Registered:
     return Registered(kind, name, lambda: None, cls=name, native=native)
 
 
@@ -45,6 +47,7 @@ SAMPLES = [
     _sample("udaf", "udf_sum", lambda c: F.coalesce(F.sum(c), F.lit(0))),
     _sample("udaf", "udf_avg", F.avg),
     _sample("udaf", "udf_count", F.count),
+    *(_sample("transform", name, f) for name, f in NATIVE.items()),
 ]
 
 

@@ -72,6 +72,21 @@ class Source:
 class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark, self.sources, self.types = spark, [], {}
+        #: Where inserts and deletes are kept beside this catalog (sources.store), if anywhere.
+        self.store = None
+
+    def attach(self, store) -> None:
+        """Take in the series of a store; from now on inserts and deletes go there as well."""
+        store.load(self)
+        self.store = store
+
+    def insert(self, df: DataFrame, clean: bool = True) -> None:
+        """Add a source; with a store it is written there first, and read from there."""
+        if self.store is not None:
+            self.store.write(df)
+            number, kind = self.store.entries()[-1]
+            df = self.spark.read.parquet(f"{self.store.folder}/{kind}-{number:08d}")
+        self.add(df, clean)
 
     def register(self, df: DataFrame, prefix: str = "", key: str = "key", clean: bool = True) -> None:
         """Add the columns of df as series prefix.column; clean=False if keys may repeat (later rows of a scan are not ordered: any non-null value holds)."""
@@ -121,6 +136,8 @@ class Catalog:
 
     def delete(self, names: Sequence[str], ranges: Sequence[tuple[int, int]] | None) -> None:
         """Null the values of the series at keys within the closed ranges; None drops the series."""
+        if self.store is not None and names:
+            self.store.delete(names, ranges)
         if ranges is None:
             for s in self.sources:
                 gone = s.names & set(names)
@@ -139,4 +156,6 @@ class Catalog:
                 s.df = s.df.select("key", *[(F.when(~hit, col(c)) if c in held else col(c)).alias(c) for c in s.df.columns if c != "key"])
 
     def clear(self) -> None:
+        if self.store is not None:
+            self.store.clear()
         self.sources, self.types = [], {}

@@ -14,7 +14,7 @@ from .functions.timeutil import to_ns
 from .operators.common import col, numbered
 from .plans.catalog import TYPES, Catalog, full_name
 from .plans.errors import StatementError
-from .plans.parser import Item, Select, Statement, Window, parse
+from .plans.parser import Item, Select, Statement, Window, parse, split_statements
 from .plans.planner import Planner, key_ranges
 from .transform import Jobs
 
@@ -42,10 +42,22 @@ class Session:
         self.catalog.register(df, prefix, key, clean)
         return self
 
+    def attach(self, folder: str) -> Session:
+        """Keep the series in a folder that the cluster shares: those in it are read, later inserts and deletes are written to it."""
+        from .sources.store import ParquetStore
+
+        self.catalog.attach(ParquetStore(self.spark, folder))
+        return self
+
     # --- text
-    def execute(self, text: str) -> DataFrame | None:
-        s = parse(text)
-        return self.planner.query(s, self.by_key) if isinstance(s, Select) else self._run(s)
+    def execute(self, text: str, by_key: bool | None = None) -> DataFrame | None:
+        """Run a statement, or several that are parted by semicolons; the result is that of the last one."""
+        first, *rest = split_statements(text)
+        for following in rest:
+            self.execute(first, by_key)
+            first = following
+        s = parse(first)
+        return self.planner.query(s, self.by_key if by_key is None else by_key) if isinstance(s, Select) else self._run(s)
 
     sql = execute_sql = execute
 
@@ -106,7 +118,7 @@ class Session:
             held = merged.setdefault(key, [None] * len(names))
             held[:] = [h if v is None else v for h, v in zip(held, values, strict=True)]
         shape = T.StructType([T.StructField("key", T.LongType())] + [T.StructField(n, T._parse_datatype_string(TYPES[k])) for n, k in zip(names, kinds, strict=True)])
-        self.catalog.add(self.spark.createDataFrame([(k, *v) for k, v in merged.items()], shape))
+        self.catalog.insert(self.spark.createDataFrame([(k, *v) for k, v in merged.items()], shape))
 
     def _insert_select(self, columns, query: Select, shift: int) -> None:
         df = self.planner.plan(query).df
@@ -118,7 +130,7 @@ class Session:
         from .plans.catalog import split_name
 
         names = [full_name(p, {**t, **split_name(v)[1]}) for (p, t), v in zip(columns, values, strict=True)]
-        self.catalog.add(df.select((F.col("key") + shift).alias("key"), *[col(v).alias(n) for v, n in zip(values, names, strict=True)]))
+        self.catalog.insert(df.select((F.col("key") + shift).alias("key"), *[col(v).alias(n) for v, n in zip(values, names, strict=True)]))
 
     # --- structured calls
     def query(self, paths: Sequence[str], start: int, end: int, tags=None, precision: str = "ns") -> DataFrame:

@@ -30,6 +30,17 @@ def read_jdbc(spark: SparkSession, host: str, port: int, database: str, table: s
     return spark.read.format("jdbc").options(url=f"jdbc:{driver}://{host}:{port}/{database}", dbtable=table, **{k: v for k, v in options.items() if k in ("user", "password", "partitionColumn", "lowerBound", "upperBound", "numPartitions")}).load()
 
 
+def _remote(kind: str) -> Callable[..., DataFrame]:
+    def read(spark: SparkSession, **options) -> DataFrame:
+        from .remote import read_remote
+
+        return read_remote(spark, kind=kind, **options)
+
+    return read
+
+
+for _kind in ("influxdb", "iotdb", "opentsdb"):
+    register_source(_kind, _remote(_kind))
 for _kind, _read in (("parquet", read_parquet), ("csv", read_csv), ("postgresql", read_jdbc), ("timescaledb", read_jdbc)):
     register_source(_kind, _read)
 

@@ -33,11 +33,14 @@ def _shape(header: list, rows: list[list]) -> T.StructType:
     return T.StructType([T.StructField(str(h), kind(i)) for i, h in enumerate(header)])
 
 
-def apply_transformer(df: DataFrame, make, flow: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """Run transform([header, *rows]) over df; the output's names and types are found on a few rows."""
+def apply_transformer(df: DataFrame, make, flow: str, batch_rows: int = BATCH_ROWS, shape: str | None = None) -> DataFrame:
+    """Run transform([header, *rows]) over df.  shape declares the output (names and Spark types); else it is found on a few rows, by a job of its own."""
     header = list(df.columns)
-    probe = make().transform([header, *[list(r) for r in df.limit(batch_rows).collect()]])
-    shape = _shape(probe[0], probe[1:])
+    if shape:
+        shape = T._parse_datatype_string(shape)
+    else:
+        probe = make().transform([header, *[list(r) for r in df.limit(batch_rows).collect()]])
+        shape = _shape(probe[0], probe[1:])
 
     def table(pdf: pd.DataFrame, f: Any) -> pd.DataFrame:
         pdf.columns = header
@@ -73,9 +76,10 @@ class Jobs:
     def build(self, tasks: list[dict]) -> DataFrame:
         self.check(tasks)
         for text in tasks[0]["sql"]:
-            df = self.session.execute(text)
+            df = self.session.execute(text, by_key=True)  # transformers see rows in their order
         for t in tasks[1:]:
-            df = apply_transformer(df, self.session.functions.get(t["name"]).make, t.get("flow", "stream"))
+            task = self.session.functions.get(t["name"])
+            df = task.native(df) if task.native else apply_transformer(df, task.make, t.get("flow", "stream"), shape=task.returns)
         return df
 
     def commit(self, tasks: list[dict], sink: str = "log", path: str = "") -> int:
