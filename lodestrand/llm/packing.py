@@ -9,6 +9,7 @@ their numbers, is then applied to the items by their rank within their size.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -61,32 +62,39 @@ def count_tokens(docs: DataFrame, names: Sequence[str], folder: str = TOKENIZERS
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_count(names, folder), shape)
 
 
-def _dominating(left: dict[int, int], s: int, capacity: int) -> int | None:
-    """The item that beside one of size s dominates every other filling of its container: a size, 0 for none at all, None if no single item does."""
+def _dominating(left: dict[int, int], order: list[int], s: int, capacity: int) -> int | None:
+    """The item that beside one of size s dominates every other filling of its container: a size, 0 for none at all, None if no single item does.
+
+    left: items of each size; order: its sizes, sorted.
+    """
     room = capacity - s
-    others = sorted(t for t, n in left.items() if t <= room and n > (t == s))
-    if not others:
+    others = lambda t: left[t] - (t == s)
+    end = bisect_right(order, room)
+    while end and not others(order[end - 1]):
+        end -= 1
+    if not end:
         return 0
-    best = others[-1]
+    best = order[end - 1]
     if best == room:
         return best
-    smallest = []
-    for t in others:
-        smallest += [t] * min(3, left[t] - (t == s))
-        if len(smallest) >= 3:
-            break
+    smallest: list[int] = []
+    for t in order[:4]:
+        if t <= room:
+            smallest += [t] * min(3, others(t))
     if len(smallest) < 2 or smallest[0] + smallest[1] > room:
         return best
     if len(smallest) > 2 and sum(smallest[:3]) <= room:
         return None
     # two others fit at most: the largest sum of two by moving in from both ends
-    i, j, most = 0, len(others) - 1, 0
+    i, j, most = 0, end - 1, 0
     while i <= j:
-        pair = others[i] + others[j]
-        if pair > room or (i == j and left[others[i]] - (others[i] == s) < 2):
+        a, b = order[i], order[j]
+        if not others(a):
+            i += 1
+        elif not others(b) or a + b > room or (i == j and others(a) < 2):
             j -= 1
         else:
-            most, i = max(most, pair), i + 1
+            most, i = max(most, a + b), i + 1
     return best if most <= best else None
 
 
@@ -116,7 +124,9 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
             left[s] -= n * k
             if not left[s]:
                 del left[s]
+                order.pop(bisect_left(order, s))
 
+    order = sorted(left)
     for s in sorted(left, reverse=True):
         t = capacity - s
         if s in left and t in left and t < s:
@@ -128,7 +138,7 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     while again:
         again = False
         for s in sorted(left, reverse=True):
-            while s in left and (partner := _dominating(left, s, capacity)) is not None:
+            while s in left and (partner := _dominating(left, order, s, capacity)) is not None:
                 if partner == 0:
                     fix(left[s], {s: 1})
                 elif partner == s:
