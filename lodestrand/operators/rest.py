@@ -99,8 +99,13 @@ def percentile(points: DataFrame, p: float, start: int, end: int, width: int) ->
 
 
 def ingest_datapoints(session, posted: Mapping[str, Any] | Sequence[Mapping[str, Any]]) -> None:
-    """Metrics as {name, tags, datapoints: [[ms, value], ...]} (or timestamp and value) into the catalog."""
+    """Metrics as {name, tags, datapoints: [[ms, value], ...]} (or timestamp and value) into the catalog; with annotation: {category, title, description} its notes."""
     for m in [posted] if isinstance(posted, Mapping) else posted:
+        if "annotation" in m:
+            note = m["annotation"]
+            session.annotations.add(m["name"], m.get("tags") or {}, note.get("category") or [], note.get("title", ""), note.get("description", ""))
+            if "datapoints" not in m and "timestamp" not in m:
+                continue
         points = m.get("datapoints") or [[m["timestamp"], m["value"]]]
         session.insert_row_records([m["name"]], [int(k) for k, _ in points], [[v] for _, v in points], [m.get("tags") or {}], precision="ms")
 
@@ -149,6 +154,17 @@ def query_datapoints(session, query: Mapping[str, Any], now_ms: int) -> list[Dat
     return out
 
 
+def query_annotations(session, query: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """The annotations that a query's metrics ask for by name, tags and category, each once, in order of adding."""
+    found: list[dict[str, Any]] = []
+    for m in query["metrics"]:
+        wanted = m.get("tags") or {}
+        for a in session.annotations.find(m.get("name"), (m.get("annotation") or {}).get("category") or ()):
+            if a not in found and all(a["tags"].get(k) in vs for k, vs in wanted.items()):
+                found.append(a)
+    return found
+
+
 class Annotations:
     """Category tags, title and description attached to metrics, kept beside the data."""
 

@@ -14,6 +14,7 @@ from lodestrand.operators import series as S
 from lodestrand.operators.common import col
 
 from .catalog import Catalog, full_name, matches, series_type, split_name, tags_match
+from . import errors as E
 from .errors import StatementError
 from .parser import Item, Select
 
@@ -152,17 +153,17 @@ class Planner:
         calls = [(leaf[1]) for i in q.items if i.kind == "math" for leaf in _leaves(i.expr) if leaf[0] == "call"] + [i.func for i in q.items if i.kind == "call"]
         kinds = {self.kind_of(f) for f in calls}
         if len(kinds) > 1:
-            raise StatementError("SetToSet/SetToRow/RowToRow functions can not be mixed in aggregate query.")
+            raise StatementError(E.MIXED_FUNCTIONS)
         bare = any(i.kind == "path" for i in q.items) or any(leaf[0] == "path" for i in q.items if i.kind == "math" for leaf in _leaves(i.expr))
         if kinds & {"row", "set"} and bare:
-            raise StatementError("SetToSet/SetToRow functions and non-function modified path can not be mixed.")
+            raise StatementError(E.MIXED_PATHS)
         kind = kinds.pop() if kinds else "simple"
         if q.window and kind != "row":
-            raise StatementError("Group by clause cannot be used without aggregate function.")
+            raise StatementError(E.WINDOW_WITHOUT_FUNCTION)
         if q.levels and kind != "row":
             raise StatementError("Group by level needs an aggregate function.")
         if q.order and kind in ("row", "set"):
-            raise StatementError("Not support ORDER BY clause in aggregate query.")
+            raise StatementError(E.ORDERED_AGGREGATE)
         return kind
 
     # --- queries
@@ -370,15 +371,15 @@ def key_ranges(where) -> list[tuple[int, int]]:
         if w[0] == "not":
             return other(walk(w[1]))
         if w[0] != "key":
-            raise StatementError("delete clause can not use value or path filter.")
+            raise StatementError(E.DELETE_BY_VALUE)
         op, v = w[1], w[2]
         if op == "!=":
-            raise StatementError("Not support [!=] in delete clause.")
+            raise StatementError(E.DELETE_NOT_EQUAL)
         return [{"=": (v, v), "<": (least, v - 1), "<=": (least, v), ">": (v + 1, most), ">=": (v, most)}[op]]
 
     found = walk(where) if where is not None else [(least, most)]
     if not found:
-        raise StatementError("This clause delete nothing, check your filter again.")
+        raise StatementError(E.DELETE_NOTHING)
     return found
 
 

@@ -80,7 +80,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every percentile of every day (and of all days, day_no null); certified: counted to be within the stated share of ranks, or one rank."""
+    """Every percentile of every day (and of all days, day_no null): the estimate, and the share of ranks by which the counting pass found it to miss."""
     values = _p2_values(spark, sf_dir)
     keys = ["data_center", "day_no"]
     day, whole = [f"day{i}" for i in range(len(P2_PROBS))], [f"whole{i}" for i in range(len(P2_PROBS))]
@@ -92,8 +92,12 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select("data_center", day_no.alias("day_no"), "n", F.inline(F.array(*each)))
 
     sums = [F.sum("n").alias("n"), *[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in whole for k in ("below", "upto")]]
-    rows = listed(counted, day, F.col("day_no")).unionAll(listed(counted.groupBy("data_center", *whole).agg(*sums), whole, F.lit(None).cast("int")))
-    return rows.select("data_center", "day_no", "n", "prob", (F.col("error") * F.col("n") <= F.greatest(F.lit(1.0), D.RANK_ERROR * F.col("n"))).alias("certified"))
+    return listed(counted, day, F.col("day_no")).unionAll(listed(counted.groupBy("data_center", *whole).agg(*sums), whole, F.lit(None).cast("int")))
+
+
+def p2_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_percentiles without the estimates; certified: counted to be within the stated share of ranks, or one rank."""
+    return p2_percentiles(spark, sf_dir).select("data_center", "day_no", "n", "prob", (F.col("error") * F.col("n") <= F.greatest(F.lit(1.0), D.RANK_ERROR * F.col("n"))).alias("certified"))
 
 
 _P2_CTE = f"""
@@ -104,7 +108,7 @@ kept as (select w.dc data_center, cast(rec_key // {DAY_NS} as integer) day_no, w
 P2_SQL = {
     "p2_found": _P2_CTE + """, whole as (select data_center, quantile_cont(val, 0.9) bound from kept group by 1)
 select data_center, day_no from kept join whole using (data_center) group by data_center, day_no, bound having median(val) > bound""",
-    "p2_percentiles": _P2_CTE + f""", probs as (select unnest({list(P2_PROBS)}) prob)
+    "p2_certified": _P2_CTE + f""", probs as (select unnest({list(P2_PROBS)}) prob)
 select data_center, day_no, n, prob::double prob, true certified from (select data_center, day_no, count(*) n from kept group by grouping sets ((data_center, day_no), (data_center))), probs""",
 }
 
@@ -223,5 +227,5 @@ typed as (select dataset, "column", case when min(low_t) = max(high_t) then min(
 select dataset, n.file_id, r.row_no, r.rec_key, n."column", col_type, r.cells[n.i + 1] cell from named n join typed using (dataset, "column") join file_rows r on r.file_id = n.file_id""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p3_found, p3_inferred, p4_found, p4_grid, p5_found, p5_flags, p6_found, p6_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rolling, p2_found, p2_percentiles, p2_certified, p3_found, p3_inferred, p4_found, p4_grid, p5_found, p5_flags, p6_found, p6_unified)}
 SQL = {**P1_SQL, **P2_SQL, **P3_SQL, **P4_SQL, **P6_SQL}

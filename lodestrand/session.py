@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .functions import udf as U
 from .functions.timeutil import to_ns
 from .operators.common import col, numbered
+from .operators.rest import Annotations
 from .plans.catalog import TYPES, Catalog, full_name
 from .plans.errors import StatementError
 from .plans.parser import Item, Select, Statement, Window, parse, split_statements
@@ -37,6 +38,7 @@ class Session:
         self.functions = U.Registry()
         self.planner = Planner(self.catalog, self.functions)
         self.jobs = Jobs(self)
+        self.annotations = Annotations()
 
     def register(self, df: DataFrame, prefix: str = "", key: str = "key", clean: bool = True) -> Session:
         self.catalog.register(df, prefix, key, clean)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.operators.common import col
+from lodestrand.plans.errors import StatementError
+
 MESSAGE = "array<struct<path string, timestamp bigint, dataType string, value string>>"
 
 
@@ -30,3 +33,20 @@ def ingested_series(spark, folder: str, paths: list[str], kind: str) -> DataFram
     points = spark.read.parquet(folder).where((F.col("kind") == kind) & F.col("path").isin(*paths))
     held = points.groupBy("path", "key").agg(F.max_by("value", "batch").alias("value"))
     return held.groupBy("key").pivot("path", paths).agg(F.first(F.col("value").try_cast(types.get(kind, "string"))))
+
+
+def latest_points(catalog, points: DataFrame, kinds: dict[str, str]) -> None:
+    """Add the points of read_messages to a catalog as series of the stated kinds; a point of another kind than its series is dropped.
+
+    Whole numbers of both widths and numbers with a fraction do not mix: the kind has to be the same.  Values that the kind cannot hold are dropped; of equal (path, key) one holds.
+    """
+    types = {"LONG": "bigint", "INTEGER": "int", "FLOAT": "float", "DOUBLE": "double", "BOOLEAN": "boolean"}
+    paths = sorted(kinds)
+    for p in paths:
+        if catalog.types.get(p, kinds[p]) != kinds[p]:
+            raise StatementError(f"series {p} holds {catalog.types[p]}, not {kinds[p]}")
+    fits = F.lit(False)
+    for p in paths:
+        fits = fits | ((F.col("path") == p) & (F.col("kind") == kinds[p]))
+    held = points.where(fits).groupBy("key").pivot("path", paths).agg(F.max("value"))
+    catalog.add(held.select("key", *[col(p).try_cast(types.get(kinds[p], "string")).alias(p) for p in paths]))
