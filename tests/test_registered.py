@@ -15,7 +15,7 @@ from lodestrand.api_queries import QUERIES, SQL
 
 
 #: No row of the smallest tables fits.
-EMPTY_HERE = ("filter_not", "filter_or_key_value", "filter_path_pair")
+EMPTY_HERE = ("filter_not", "filter_or_key_value", "filter_path_pair", "subquery_filter")
 
 
 def plain(rows):
