@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrand.operators.common import col
+from lodestrand.operators.common import col, ensure_checkpoint_dir
 
 from .errors import StatementError
 
@@ -155,6 +155,12 @@ class Catalog:
             if held:
                 s.df = s.df.select("key", *[(F.when(~hit, col(c)) if c in held else col(c)).alias(c) for c in s.df.columns if c != "key"])
 
+    def compact(self) -> None:
+        """Bring all sources together into one, written to the checkpoint folder: every insert adds a source, and a scan merges those of its series."""
+        if len(self.sources) > 1:
+            ensure_checkpoint_dir(self.spark)
+            self.sources = [Source(self.scan(self.series()).checkpoint())]
+
     def clear(self) -> None:
         if self.store is not None:
             self.store.clear()

@@ -83,3 +83,12 @@ def test_jobs_fail_and_are_cancelled(spark):
     assert s.jobs.wait(number, 60) == "failed" and got(s.execute("SHOW FAILED TRANSFORM JOB")) == [(number,)]
     s.execute(f"CANCEL TRANSFORM JOB {number}")
     assert s.jobs.status(number) == "failed" and s.jobs.status(99) == "unknown"
+
+
+def test_many_inserts_become_one_source(spark):
+    s = Session(spark)
+    for k in range(6):
+        s.execute(f"INSERT INTO a(key, x) VALUES ({k % 4}, {k})")
+    before = got(s.execute("SELECT x FROM a"))
+    s.catalog.compact()
+    assert len(s.catalog.sources) == 1 and got(s.execute("SELECT x FROM a")) == before == [(0, 4), (1, 5), (2, 2), (3, 3)]
