@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .units import TOKENIZERS, ByteUnits, cut, tokenizer
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Words of which a task remembers the ids.
 REMEMBERED = 1_000_000
 #: Places of words, at the least and per shuffle partition.  The words of a chunk at one place travel as one row.
