@@ -13,7 +13,7 @@ from .operators.common import col, ensure_checkpoint_dir, numbered, table
 from .queries import END, QUERIES, SQL, add, open_session, query
 from .session import Session
 from .sources import open_source, write_result
-from .streaming import latest_points, read_messages
+from .streaming import register_points, read_messages
 
 DAY = 86_400_000_000_000
 
@@ -308,7 +308,7 @@ def ingest_messages(spark, sf_dir):
     lines = ev.select(F.to_json(F.array(point("p.v", "double", "value"), point("p.u", "long", "user_id"))).alias("value"))
     wrong = ev.select(F.to_json(F.array(F.struct(F.lit("p.u").alias("path"), (F.col("event_id") + 10**9).alias("timestamp"), F.lit("boolean").alias("dataType"), F.lit("true").alias("value")))).alias("value"))
     s = Session(spark, by_key=False)
-    latest_points(s.catalog, read_messages(lines.unionAll(wrong)), {"p.v": "DOUBLE", "p.u": "LONG"})
+    register_points(s.catalog, read_messages(lines.unionAll(wrong)), {"p.v": "DOUBLE", "p.u": "LONG"})
     return s.execute("SELECT v, u FROM p").toDF("key", "value", "user_id")
 
 

@@ -35,7 +35,7 @@ def ingested_series(spark, folder: str, paths: list[str], kind: str) -> DataFram
     return held.groupBy("key").pivot("path", paths).agg(F.first(F.col("value").try_cast(types.get(kind, "string"))))
 
 
-def latest_points(catalog, points: DataFrame, kinds: dict[str, str]) -> None:
+def register_points(catalog, points: DataFrame, kinds: dict[str, str]) -> None:
     """Add the points of read_messages to a catalog as series of the stated kinds; a point of another kind than its series is dropped.
 
     Whole numbers of both widths and numbers with a fraction do not mix: the kind has to be the same.  Values that the kind cannot hold are dropped; of equal (path, key) one holds.

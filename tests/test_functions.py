@@ -92,3 +92,24 @@ def test_many_inserts_become_one_source(spark):
     before = got(s.execute("SELECT x FROM a"))
     s.catalog.compact()
     assert len(s.catalog.sources) == 1 and got(s.execute("SELECT x FROM a")) == before == [(0, 4), (1, 5), (2, 2), (3, 3)]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from lodestrand.operators.common import ensure_checkpoint_dir
+
+    class Plain:
+        def __init__(self, **held):
+            self.__dict__ |= held
+
+    def session(master, folder, taken):
+        none = Plain(isEmpty=lambda: True)
+        context = Plain(master=master, _jsc=Plain(sc=lambda: Plain(getCheckpointDir=lambda: none)), setCheckpointDir=taken.append)
+        return Plain(sparkContext=context, conf=Plain(get=lambda key, default: folder))
+
+    taken = []
+    ensure_checkpoint_dir(session("spark://somewhere:7077", "hdfs://shared/x", taken))
+    ensure_checkpoint_dir(session("local[8]", None, taken))
+    assert taken[0] == "hdfs://shared/x" and len(taken) == 2
+    for master in ("spark://somewhere:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(session(master, None, taken))
