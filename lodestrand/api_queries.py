@@ -258,7 +258,7 @@ def job_file_sink(spark, sf_dir):
     """A job whose rows go to a file, read back."""
     folder, s = scratch(spark), open_session(spark, sf_dir)
     number = s.jobs.commit([{"kind": "sql", "sql": ["SELECT value FROM events"]}], "file", folder)
-    if s.jobs.wait(number) != "finished":
+    if s.jobs.wait(number, 600) != "finished":
         raise RuntimeError(s.jobs.jobs[number]["error"])
     return spark.read.option("header", True).schema("key bigint, value double").csv(folder)
 
@@ -268,7 +268,7 @@ def job_engine_sink(spark, sf_dir):
     """A job whose rows become series of the engine, with keys of their own in the order of the rows."""
     s = open_session(spark, sf_dir)
     number = s.jobs.commit([{"kind": "sql", "sql": ["SELECT value FROM events"]}], "engine")
-    if s.jobs.wait(number) != "finished":
+    if s.jobs.wait(number, 600) != "finished":
         raise RuntimeError(s.jobs.jobs[number]["error"])
     df = s.execute("SELECT events.value FROM transform", by_key=True)
     return numbered(df.select(col("transform.events.value").alias("value")), "place")

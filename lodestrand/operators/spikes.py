@@ -42,7 +42,7 @@ LEAST, SHORT = 20, 12.0
 CLASS = 1.03
 #: Grid periods in a shard.
 SHARD_SLOTS = 16_384
-#: Readings that a task packs at once.
+#: Readings that a task packs, and filters, at once (or one shard).
 BUFFER_ROWS = 500_000
 
 _ZERO = -(1 << 18)  # the class of differences of 0
@@ -240,10 +240,19 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(pa.Table.from_batches(held))
 
 
-def _inspect_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], limit: int = BUFFER_ROWS) -> Iterator[pa.RecordBatch]:
+    """Consecutive shards with at most limit readings, or one."""
     for b in batches:
-        if not b.num_rows:
-            continue
+        total = np.cumsum(b.column("n").to_numpy())
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + limit, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
+def _inspect_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _pieces(batches):
         get = lambda c: b.column(c).to_pylist()
         numbers = lambda c: b.column(c).to_numpy(zero_copy_only=False)
         parts, sizes, begins, ends = [], [], [], []
@@ -323,7 +332,7 @@ def implausible(points: DataFrame) -> DataFrame:
     steps = shards.select(*SOURCE, F.inline("steps")).groupBy(*SOURCE).agg(_percentiles(0, [0.5, 0.9]).alias("d1"), _percentiles(1, [0.5, 0.9]).alias("d2"))
     # what a shard needs of its source is joined to its name, so that the readings move once
     named = shards.select(*SHARD).join(steps, list(SOURCE), "left")
-    known = shards.drop("steps", "n").join(named, list(SHARD)).join(_around(shards), list(SHARD), "left")
+    known = shards.drop("steps").join(named, list(SHARD)).join(_around(shards), list(SHARD), "left")
     seen = known.mapInArrow(_inspect_shards, _SEEN_DDL).checkpoint()
     counted = lambda part, c: F.sum(F.when((F.col("part") == part) & (F.col("class") == c), F.col("n")))
     habits = seen.select(*SOURCE, F.inline("counts")).groupBy(*SOURCE).agg(

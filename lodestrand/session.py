@@ -53,13 +53,11 @@ class Session:
 
     # --- text
     def execute(self, text: str, by_key: bool | None = None) -> DataFrame | None:
-        """Run a statement, or several that are parted by semicolons; the result is that of the last one."""
-        first, *rest = split_statements(text)
-        for following in rest:
-            self.execute(first, by_key)
-            first = following
-        s = parse(first)
-        return self.planner.query(s, self.by_key if by_key is None else by_key) if isinstance(s, Select) else self._run(s)
+        """Run a statement, or several that are parted by semicolons, all of which are read before the first is run; the result is that of the last one."""
+        out = None
+        for s in [parse(part) for part in split_statements(text)]:
+            out = self.planner.query(s, self.by_key if by_key is None else by_key) if isinstance(s, Select) else self._run(s)
+        return out
 
     sql = execute_sql = execute
 

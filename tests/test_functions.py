@@ -73,6 +73,14 @@ def test_declared_types_need_no_job(spark, tmp_path):
 
 def test_statements_are_parted_outside_quotes():
     assert split_statements("A 'x;y'; B \"p;q\" ;") == ["A 'x;y'", " B \"p;q\" "] and split_statements("A") == ["A"]
+    assert split_statements("DELETE FROM a.x 'p; B") == ["DELETE FROM a.x 'p", " B"]
+
+
+def test_no_statement_runs_if_one_cannot_be_read(spark):
+    s = Session(spark)
+    with pytest.raises(StatementError):
+        s.execute("INSERT INTO a(key, x) VALUES (1, 1); DELETE FROM 'a")
+    assert s.catalog.types == {}
 
 
 def test_jobs_fail_and_are_cancelled(spark):

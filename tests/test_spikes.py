@@ -103,3 +103,11 @@ def one_by_one(v, drift, obs):
         gain = var / (var + obs)
         level, var = level + gain * (x - level), var * (1 - gain)
     return z, out
+
+
+def test_pieces_hold_every_shard_once():
+    import pyarrow as pa
+
+    b = pa.record_batch({"n": pa.array([5, 3, 20, 1, 1, 9]), "i": pa.array(range(6))})
+    parts = list(K._pieces([b.slice(0, 0), b], 9))
+    assert [p.column("i").to_pylist() for p in parts] == [[0, 1], [2], [3, 4], [5]]
