@@ -9,7 +9,7 @@ their numbers, is then applied to the items by their rank within their size.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -100,15 +100,15 @@ def _dominating(left: dict[int, int], order: list[int], s: int, capacity: int) -
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     """A number of containers that no packing can do with less of: large items take one each, what room they leave takes the others at best."""
-    sizes = sorted((s, n) for s, n in histogram.items() if n > 0)
-    best = -(-sum(s * n for s, n in sizes) // capacity)
-    for k in {0, *(s for s, _ in sizes if 2 * s <= capacity)}:
-        alone = sum(n for s, n in sizes if s > capacity - k)
-        half = [(s, n) for s, n in sizes if capacity >= 2 * k and capacity - k >= s > capacity / 2]
-        rest = sum(s * n for s, n in sizes if k <= s <= capacity / 2)
-        room = sum((capacity - s) * n for s, n in half)
-        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(rest - room) // capacity)))
-    return best
+    size, n = (np.array(c, np.int64) for c in zip(*sorted((s, n) for s, n in histogram.items() if n > 0), strict=True)) if any(histogram.values()) else (np.zeros(0, np.int64),) * 2
+    items, tokens = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(size * n)]
+    upto = lambda s: np.searchsorted(size, s, side="right")  # noqa: E731  sizes up to s
+    k = np.r_[0, size[2 * size <= capacity]]
+    large, middle = upto(capacity - k), upto(capacity // 2)  # beyond large: nothing of size k fits beside
+    half_n, half = items[large] - items[middle], tokens[large] - tokens[middle]
+    rest = tokens[middle] - tokens[upto(k - 1)]
+    extra = np.maximum(0, -(-(rest - (capacity * half_n - half)) // capacity))
+    return int(np.max(items[-1] - items[large] + half_n + extra))
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int]:
@@ -149,28 +149,34 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> tuple[list[tupl
     by_dominance = sum(n for n, _ in fixed)
     # best fit, decreasing: groups of equal containers by their free room
     groups: dict[int, list[tuple[int, dict[int, int]]]] = {}
+    rooms: list[int] = []  # those of groups, sorted
+
+    def put(room: int, n: int, pattern: dict[int, int]) -> None:
+        if n:
+            if room not in groups:
+                insort(rooms, room)
+            groups.setdefault(room, []).append((n, pattern))
+
     for s in sorted(left, reverse=True):
         todo = left[s]
-        for room in sorted(r for r in groups if r >= s):
-            while todo and groups.get(room):
-                n, pattern = groups[room].pop()
-                t = room // s
-                full = min(n, todo // t)
-                rest = todo - full * t if full < n else 0
-                for m, k in ((full, t), (1, rest)) if 0 < rest < t else ((full, t),):
-                    if m and k:
-                        groups.setdefault(room - k * s, []).append((m, {**pattern, s: k}))
-                        n, todo = n - m, todo - m * k
-                if n:
-                    groups[room].append((n, pattern))
-                    break
-            if not todo:
-                break
+        while todo and (i := bisect_left(rooms, s)) < len(rooms):
+            room = rooms[i]
+            n, pattern = groups[room].pop()
+            if not groups[room]:
+                del groups[room], rooms[i]
+            t = room // s
+            full = min(n, todo // t)
+            rest = todo - full * t if full < n else 0
+            put(room - t * s, full, {**pattern, s: t})
+            if rest:
+                put(room - rest * s, 1, {**pattern, s: rest})
+            put(room, n - full - (rest > 0), pattern)
+            todo -= full * t + rest
         t = capacity // s
-        for m, k in ((todo // t, t), (1, todo % t)):
-            if m and k:
-                groups.setdefault(capacity - k * s, []).append((m, {s: k}))
-    return fixed + [g for room in sorted(groups) for g in groups[room]], by_dominance
+        put(capacity - t * s, todo // t, {s: t})
+        if todo % t:
+            put(capacity - todo % t * s, 1, {s: todo % t})
+    return fixed + [g for room in rooms for g in groups[room]], by_dominance
 
 
 def _pieces(sizes: DataFrame) -> DataFrame:
