@@ -28,6 +28,8 @@ from .points import SHARD, SOURCE
 GATE = 3.5
 #: Most consecutive readings of a spike, and fewest of a stuck stretch.
 SPIKE_RUN, STUCK_RUN = 3, 8
+#: A reading at a shift is a spike of its own only if so many times further off the new level than the others there.
+ALONE = 2.0
 #: A source with a larger share of repeated neighbours (stuck stretches aside) repeats itself by nature.
 REPEATS = 0.05
 #: Innovations vanish below this share of the source's own innovation deviation.
@@ -89,7 +91,7 @@ def innovations(x: np.ndarray, sizes: np.ndarray, drift: np.ndarray, obs: np.nda
     live = lanes[sizes[lanes] > 0]
     drift, obs = drift[live], obs[live]
     level = np.array([np.median(x[s : s + min(5, n)]) for s, n in zip(starts[live].tolist(), sizes[live].tolist(), strict=True)])
-    var, held, kept = obs.copy(), np.zeros(len(live), np.int64), np.zeros((SPIKE_RUN + 1, len(live)))
+    var, held, kept, last = obs.copy(), np.zeros(len(live), np.int64), np.zeros((SPIKE_RUN + 1, len(live))), np.zeros(len(live))
     scores, beyond = np.empty(len(x)), np.empty(len(x), bool)
     begin = begins.tolist()
     for step, k in enumerate(running.tolist()):
@@ -101,21 +103,25 @@ def innovations(x: np.ndarray, sizes: np.ndarray, drift: np.ndarray, obs: np.nda
         z = scores[a : a + k]
         np.divide(e, np.sqrt(s), out=z)
         off = np.abs(z) > gate
+        if h.any():  # readings nearer to the held ones than to the level stay with them
+            off |= (h > 0) & (np.abs(e) > np.abs(now - last[:k]))
         gain = v / s
         beyond[a : a + k] = off
         if off.any():
             gain[off] = 0.0
             i = np.flatnonzero(off)
-            kept[h[i], i] = now[i]
+            kept[h[i], i] = last[i] = now[i]
             h[i] += 1
             h *= off
             i = i[h[i] > SPIKE_RUN]
-            if len(i):  # a lasting shift: the readings that were held are measured against the new level
+            if len(i):  # a lasting shift: the readings that were held are measured against the new level, which only one of them may be off
                 level[i], v[i], h[i] = np.median(kept[:, i], axis=0), obs[i], 0
+                again = (kept[:, i] - level[i]) / np.sqrt(v[i] + obs[i])
+                least = np.sort(np.abs(again), axis=0)
+                alone = (np.abs(again) == least[-1]) & (least[-1] > gate) & (least[-1] > ALONE * least[-2])
                 for back in range(SPIKE_RUN + 1):
-                    again = (kept[SPIKE_RUN - back, i] - level[i]) / np.sqrt(v[i] + obs[i])
-                    scores[begin[step - back] + i] = again
-                    beyond[begin[step - back] + i] = np.abs(again) > gate
+                    scores[begin[step - back] + i] = again[SPIKE_RUN - back]
+                    beyond[begin[step - back] + i] = alone[SPIKE_RUN - back]
         else:
             h[:] = 0
         level[:k] += gain * e
@@ -163,11 +169,13 @@ def inspect_series(x: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.n
     both = early == last
     off = np.where(both, off, np.abs(np.where(early, back, ahead)))
     flag = np.where(both, out_ahead & out_back & (off > 0), np.where(early, out_back, out_ahead) & (off >= SHORT))
-    # the readings of a spike stand and fall together
+    # the readings of a spike stand and fall together, by the largest innovation of each direction
     begins = np.flatnonzero(flag & np.r_[True, ~flag[:-1] | (lane[inside][1:] != lane[inside][:-1])]) if len(flag) else np.zeros(0, np.int64)
     if len(begins):
         run = np.cumsum(np.bincount(begins, minlength=len(flag))) - 1
-        off[flag] = np.maximum.reduceat(np.where(flag, off, 0.0), begins)[run[flag]]
+        known = ((ahead, both | last), (back, both | early))
+        each = [np.maximum.reduceat(np.where(flag, np.where(valid, np.abs(z), np.inf), 0.0), begins) for z, valid in known]
+        off[flag] = np.minimum(*each)[run[flag]]
     score, candidate = np.full(len(x), np.nan), np.zeros(len(x), bool)
     score[inside], candidate[inside] = np.where(both | flag, off, np.nan), flag
     return outside, stuck, candidate, score, pair, repeated & pair

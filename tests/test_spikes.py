@@ -90,13 +90,13 @@ def one_by_one(v, drift, obs):
     for i, x in enumerate(v):
         var += drift
         z[i] = (x - level) / np.sqrt(var + obs)
-        if abs(z[i]) > K.GATE:
+        if abs(z[i]) > K.GATE or (held and abs(x - level) > abs(x - v[held[-1]])):
             held.append(i)
             out[i] = True
             if len(held) > K.SPIKE_RUN:
                 level, var = np.median(v[held]), obs
                 z[held] = (v[held] - level) / np.sqrt(2 * obs)
-                out[held] = np.abs(z[held]) > K.GATE
+                out[held] = [abs(z[k]) > max(K.GATE, *(K.ALONE * abs(z[j]) for j in held if j != k)) for k in held]
                 held = []
             continue
         held = []
