@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions.udf import Registered
 from .operators import rest as R
 from .operators.common import col, ensure_checkpoint_dir, numbered, table
+from .plans.errors import StatementError
 from .queries import END, QUERIES, SQL, add, open_session, query
 from .session import Session
 from .sources import open_source, write_result
@@ -65,6 +66,28 @@ def output_names(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in df.columns], "name string")
 
 
+@query("select * from (values (1630000000000000000, 10, 20, 30), (1630000001500000000, 11, 21, null)) t(\"key\", a, b, c)")
+def special_paths(spark, sf_dir):
+    """Names of digits, signs and other scripts; a bare number in a select list is a path."""
+    s = Session(spark)
+    s.execute("INSERT INTO 数据.4711(key, 99, _m:@#$, 温度) VALUES (2021-08-26 17:46:40, 10, 20, 30), (2021/08/26T17:46:41.500, 11, 21, NULL)")
+    return s.execute("SELECT 99, _m:@#$, 温度 FROM 数据.4711").toDF("key", "a", "b", "c")
+
+
+@query("""select * from (values (1, 'wildcards cannot stand in arithmetic'), (2, 'arithmetic needs numbers'), (3, 'a natural join needs columns of one name on both sides'),
+(4, 'This clause delete nothing, check your filter again.'), (5, 'a window needs a positive width'), (6, 'unknown function median')) t(no, message)""")
+def statement_errors(spark, sf_dir):
+    """What is said of statements that cannot be analysed."""
+    s, found = open_session(spark, sf_dir, "FROM events nation region"), []
+    for text in ("SELECT value + * FROM events", "SELECT event_type + 1 FROM events", "SELECT * FROM nation NATURAL JOIN region", "DELETE FROM events.value WHERE key > 9 AND key < 4", "SELECT max(value) FROM events GROUP [0, 10) BY 0ns", "SELECT median(value) FROM events"):
+        try:
+            s.execute(text)
+            found.append((len(found) + 1, "nothing"))
+        except StatementError as e:
+            found.append((len(found) + 1, str(e)))
+    return spark.createDataFrame(found, "no int, message string")
+
+
 # statements and calls
 @query("select * from (values (1, 1.5, 'p', true), (2, 20.5, null, false), (3, null, 'r', null)) t(\"key\", x, s, b)")
 def insert_values(spark, sf_dir):
