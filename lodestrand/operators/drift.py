@@ -211,6 +211,23 @@ def column_changes(headers: DataFrame, rows: DataFrame) -> DataFrame:
     return full.mapInPandas(_compare_batches, "file_id bigint, change string, old_col string, new_col string")
 
 
+def following(items: DataFrame, links: DataFrame) -> DataFrame:
+    """items(dataset, name, place, ...) with found: of links(dataset, name, place, link) of the same name that of the least greater place, null if there is none.
+
+    Stretches of places are put in order on their own; the first link of the nearest later stretch is carried in, so that no data set or name is one task's work.
+    """
+    both = items.withColumn("_link", F.lit(False)).unionByName(links.withColumn("_link", F.lit(True)), allowMissingColumns=True)
+    both = both.withColumn("stretch", floor_div(F.col("place").cast("long"), STRETCH))
+    keys = ["dataset", "name", "stretch"]
+    # from the greatest place down; a link at an item's own place comes after the item
+    down = Window.partitionBy(*keys).orderBy(F.col("place").desc(), "_link").rowsBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("_near", F.last("link", ignorenulls=True).over(down)).where("not _link").drop("link", "_link")
+    heads = both.groupBy(*keys).agg(F.min_by("link", F.when(F.col("_link"), F.col("place"))).alias("_first"))
+    later = Window.partitionBy("dataset", "name").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select(*keys, F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    return inside.join(carried, keys).withColumn("found", F.coalesce("_near", "_later")).drop("_near", "_later", "stretch")
+
+
 def final_names(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(dataset, file_id, position, name, type, column): the last name under which each column of each file goes on.
 
@@ -219,17 +236,15 @@ def final_names(files: DataFrame, changes: DataFrame) -> DataFrame:
     spark = files.sparkSession
     ensure_checkpoint_dir(spark)
     place = files.select("dataset", "seq_no", "file_id")
-    links = changes.where("change = 'renamed'").join(place, "file_id").select("dataset", F.col("seq_no").alias("at"), F.col("old_col").alias("old"), F.col("new_col").alias("new"))
-    later = links.select("dataset", F.col("at").alias("next_at"), F.col("old").alias("new"))
-    chained = links.join(later, ["dataset", "new"], "left").groupBy("dataset", "at", "old", "new").agg(F.min(F.when(F.col("next_at") > F.col("at"), F.col("next_at"))).alias("next_at"))
-    state = chained.select("dataset", "at", "old", F.col("new").alias("end"), "next_at").checkpoint()
+    links = changes.where("change = 'renamed'").join(place, "file_id").select("dataset", F.col("seq_no").alias("place"), F.col("old_col").alias("old"), F.col("new_col").alias("new")).checkpoint()
+    chained = following(links.withColumn("name", F.col("new")), links.select("dataset", F.col("old").alias("name"), "place", F.struct("place").alias("link")))
+    state = chained.select("dataset", F.col("place").alias("at"), "old", F.col("new").alias("end"), F.col("found.place").alias("next_at")).checkpoint()
     while state.where("next_at is not null").limit(1).count():
         step = state.select("dataset", F.col("at").alias("next_at"), F.col("old").alias("end"), F.col("end").alias("end2"), F.col("next_at").alias("next2"))
         state = state.join(step, ["dataset", "next_at", "end"], "left").select("dataset", "at", "old", F.coalesce("end2", "end").alias("end"), F.col("next2").alias("next_at")).checkpoint()
-    columns = files.select("dataset", "seq_no", "file_id", F.posexplode(F.arrays_zip("names", "types")).alias("position", "c")).select("dataset", "seq_no", "file_id", "position", F.col("c.names").alias("name"), F.col("c.types").alias("type"))
-    hits = columns.join(state.withColumnRenamed("old", "name").drop("next_at"), ["dataset", "name"]).where("at > seq_no")
-    ends = hits.groupBy("file_id", "position").agg(F.min_by("end", "at").alias("end"))
-    return columns.where("name is not null").join(ends, ["file_id", "position"], "left").select("dataset", "file_id", "position", "name", "type", F.coalesce("end", "name").alias("column"))
+    columns = files.select("dataset", F.col("seq_no").alias("place"), "file_id", F.posexplode(F.arrays_zip("names", "types")).alias("position", "c")).select("dataset", "place", "file_id", "position", F.col("c.names").alias("name"), F.col("c.types").alias("type")).where("name is not null")
+    ends = state.select("dataset", F.col("old").alias("name"), F.col("at").alias("place"), F.struct("end").alias("link"))
+    return following(columns, ends).select("dataset", "file_id", "position", "name", "type", F.coalesce("found.end", "name").alias("column"))
 
 
 def unify(headers: DataFrame, rows: DataFrame) -> DataFrame:

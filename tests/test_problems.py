@@ -229,3 +229,12 @@ def test_sketches_merge(spark):
     assert len(one) == len(many) == 2
     for a, b in zip(sorted(one), sorted(many), strict=True):
         assert a["sketch"]["least"] == b["sketch"]["least"] and a["sketch"]["n"] == b["sketch"]["n"] and math.isclose(a["sketch"]["size"], b["sketch"]["size"])
+
+
+def test_following_links(spark):
+    rng = np.random.default_rng(13)
+    items = [("d" if k % 3 else "e", f"n{rng.integers(3)}", int(rng.integers(-3000, 6000)), k) for k in range(300)]
+    links = sorted({("d" if k % 2 else "e", f"n{rng.integers(3)}", int(rng.integers(-3000, 6000))) for k in range(25)} | {items[0][:3]})
+    got = S.following(spark.createDataFrame(items, "dataset string, name string, place bigint, k int"), spark.createDataFrame([(*x, (x[2],)) for x in links], "dataset string, name string, place bigint, link struct<at bigint>"))
+    want = {k: min((x[2] for x in links if x[:2] == (d, n) and x[2] > p), default=None) for d, n, p, k in items}
+    assert {r["k"]: r["found"] and r["found"]["at"] for r in got.collect()} == want
