@@ -93,8 +93,15 @@ def _coded(batches: Sequence[pa.RecordBatch], keys: Sequence[str]) -> tuple[pd.D
     return whole, codes, whole.loc[first.index, list(keys)].set_axis(first.to_numpy()).sort_index()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], limit: int = MERGE_ROWS) -> Iterator[list[pa.RecordBatch]]:
-    """Rows sorted by keys in lists of at least limit rows that end where a group ends."""
+def _shrunk(held: Sequence[pa.RecordBatch], keys: Sequence[str], delta: float) -> pa.RecordBatch:
+    """The centroids of the centroids held, in the same columns."""
+    whole, codes, names = _coded(held, keys)
+    g, m, w = cluster(codes, whole["mean"].to_numpy(float), whole["weight"].to_numpy(float), delta)
+    return pa.RecordBatch.from_pandas(names.loc[g].reset_index(drop=True).assign(mean=m, weight=w)[held[0].schema.names], schema=held[0].schema, preserve_index=False)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], limit: int = MERGE_ROWS, delta: float = DELTA) -> Iterator[list[pa.RecordBatch]]:
+    """Centroids sorted by keys in lists of at least limit rows that end where a group ends; a group of more rows is merged as it comes."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -113,17 +120,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], limit:
             if end:
                 yield whole.slice(0, end).to_batches()
                 held, rows = whole.slice(end).combine_chunks().to_batches(), rows - end
+            else:
+                held = [_shrunk(held, keys, delta)]
+                rows = held[0].num_rows
     if rows:
         yield held
 
 
 def _merge(keys: Sequence[str], out: pa.Schema, delta: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _whole_groups(batches, keys):
-            whole, codes, names = _coded(held, keys)
-            g, m, w = cluster(codes, whole["mean"].to_numpy(float), whole["weight"].to_numpy(float), delta)
-            done = names.loc[g].reset_index(drop=True).assign(mean=m, weight=w)
-            yield pa.RecordBatch.from_pandas(done[out.names], schema=out, preserve_index=False)
+        for held in _whole_groups(batches, keys, delta=delta):
+            yield _shrunk(held, keys, delta).select(out.names).cast(out)
 
     return run
 

@@ -238,3 +238,20 @@ def test_following_links(spark):
     got = S.following(spark.createDataFrame(items, "dataset string, name string, place bigint, k int"), spark.createDataFrame([(*x, (x[2],)) for x in links], "dataset string, name string, place bigint, link struct<at bigint>"))
     want = {k: min((x[2] for x in links if x[:2] == (d, n) and x[2] > p), default=None) for d, n, p, k in items}
     assert {r["k"]: r["found"] and r["found"]["at"] for r in got.collect()} == want
+
+
+def test_large_groups_are_merged_as_they_come():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    values = {"a": rng.normal(0, 1, 50_000), None: rng.normal(5, 1, 300), "z": rng.exponential(1, 20_000)}
+    batches = [pa.record_batch({"k": pa.array([k] * len(p), pa.string()), "mean": pa.array(p), "weight": pa.array(np.ones(len(p)))}) for k, v in values.items() for p in np.array_split(v, 9)]
+    lists = list(D._whole_groups(iter(batches), ["k"], limit=4000))
+    assert all(sum(b.num_rows for b in held) < 12_000 for held in lists)
+    rows = pa.Table.from_batches([b for held in lists for b in held]).to_pandas()
+    for k, v in values.items():
+        own = rows[rows.k.isna() if k is None else rows.k == k].sort_values("mean")
+        assert own.weight.sum() == len(v)
+        for q in (0.1, 0.5, 0.95):
+            found = D.quantiles(own["mean"].to_numpy(), own["weight"].to_numpy(), [q])[0]
+            assert abs((v <= found).mean() - q) <= max(D.RANK_ERROR, 1 / len(v))
